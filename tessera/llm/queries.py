@@ -1,8 +1,9 @@
 """The subpackage's queries and, where SQL can express them, their SQL."""
 
-from tessera.llm import byte_bpe, exact_dedup, mixing, sharding, vector_search
+from tessera.llm import byte_bpe, exact_dedup, mixing, ngram_join, sharding, vector_search
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.query,
     "op3_sharding": sharding.query,
     "op4_exact_dedup": exact_dedup.query,
     "op6_byte_bpe": byte_bpe.query,
