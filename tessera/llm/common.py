@@ -127,15 +127,53 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, at)
 
 
+class Hasher:
+    """64-bit hashes of byte slices, equal for equal slices (lower: after A-Z become a-z): differences of a running
+    polynomial sum, moved to exponent 0, so that a slice costs the same whatever its length."""
+
+    def __init__(self, raw: np.ndarray, lower: bool = False):
+        up, self.down = _powers(len(raw) + 1)
+        self.total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((_LOWER if lower else _BYTE)[raw] * up[: len(raw)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sums = (self.total[ends] - self.total[starts]) * self.down[starts]
+        return mix(sums + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte slices, equal for equal slices (lower: after A-Z become a-z): differences of a
-    running polynomial sum, moved to exponent 0, so that the cost doesn't depend on the slices."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTE)[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return Hasher(raw, lower)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+
+
+class Members:
+    """Positions of hashes in a sorted array of wanted ones, -1 for others; a bitmap passes the rest quickly."""
+
+    def __init__(self, wanted: np.ndarray):
+        self.wanted = wanted
+        self.bits = np.zeros(1 << 18, bool)
+        self.bits[(wanted >> np.uint64(46)).astype(np.int64)] = True
+
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of each hash that is wanted, its position in the array)."""
+        maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(46)).astype(np.int64)])
+        if not len(maybe):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.wanted, hashes[maybe]), len(self.wanted) - 1)
+        same = self.wanted[at] == hashes[maybe]
+        return maybe[same], at[same]
+
+
+def held_out(doc_id):
+    """Whether crc32 of doc_id as text is divisible by 5: such rows never teach a model."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id and label of at most `most` labelled rows that aren't held out, the same at every run; of repeated ids
+    the larger label counts."""
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def text_batches(batches, ids: str, text: str):
