@@ -1,4 +1,8 @@
-"""A corpus from raw documents to mixed training data: each stage's rows are written and read again by the next."""
+"""A corpus from raw documents to mixed and encoded training data, in five stages.
+
+Each stage works on all that its predecessor kept. A stage's rows are written as Parquet and read again as the
+next one's input, so that a lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,51 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.byte_bpe import digests
-from tessera.llm.common import scratch_dir
-from tessera.llm.exact_dedup import drop_copies
-from tessera.llm.mixing import repeat_documents
+from tessera.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality
+from tessera.llm.common import scratch_dir, table
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels, doesn't reject."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one of the largest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by similar shingle sets, the one of the smallest doc_id."""
+    return ngram_join.keep_one(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.repeat_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the tokens and of the text that they decode to, for each row of the mix."""
+    return byte_bpe.digests(docs)
+
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: drop_copies(docs)),
-    ("mixing", lambda spark, docs, sf_dir: repeat_documents(docs)),
-    ("byte-level BPE", lambda spark, docs, sf_dir: digests(docs)),
+    ("quality classifier", good_documents),
+    ("exact dedup", distinct_texts),
+    ("n-gram Jaccard join", no_near_duplicates),
+    ("mixing sources", mixed_sources),
+    ("byte-level BPE", encoded),
 ]
 
-#: SQL can't express the classifier, the near-duplicate join and the tokenizer.
+#: SQL can't express the classifier, the tokenizer and, on whole tables, the near-duplicate join.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}")
         docs = spark.read.parquet(path)
