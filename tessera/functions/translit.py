@@ -12,8 +12,10 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NAME = re.compile(r"(?P<script>[A-Z]+) (?:CAPITAL |SMALL )?(?P<kind>LETTER|VOWEL SIGN|DIGIT) (?P<sound>[A-Z]+)")
+_LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "þ": "th", "ð": "d", "ı": "i", "ħ": "h", "ŧ": "t"}
 _INDIC = {"DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM"}
 # Names of Greek letters by their sound.
 _GREEK = {"ALPHA": "a", "BETA": "b", "GAMMA": "g", "DELTA": "d", "EPSILON": "e", "ZETA": "z", "ETA": "e", "THETA": "th", "IOTA": "i", "KAPPA": "k", "LAMDA": "l", "MU": "m", "NU": "n", "XI": "x", "OMICRON": "o", "PI": "p", "RHO": "r", "SIGMA": "s", "FINAL": "s", "TAU": "t", "UPSILON": "u", "PHI": "ph", "CHI": "ch", "PSI": "ps", "OMEGA": "o"}
@@ -25,9 +27,11 @@ def sound(c: str) -> str:
         return c
     if (plain := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) != "":
         return plain
+    if c.lower() in _LATIN:
+        return _LATIN[c.lower()]
     m = _NAME.match(unicodedata.name(c, ""))
     if not m:
-        return {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d"}.get(c.lower(), "")
+        return ""
     if m["kind"] == "DIGIT":
         return str(unicodedata.digit(c, ""))
     return _GREEK.get(m["sound"], m["sound"].lower()) if m["script"] == "GREEK" else m["sound"].lower()
@@ -46,7 +50,7 @@ def transliterate(text: str | None) -> str:
     return "".join(out).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def transliterate_column(texts: pd.Series) -> pd.Series:
     """Transliterated texts; each distinct text of a batch is done once."""
     distinct = {t: transliterate(t) for t in texts.dropna().unique()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import CURRENT, Config
 from tessera.operators import rarity, tfidf
+from tessera.sources.scratch import written
 
 CHANNELS = ("in_knn", "in_knn_name", "in_knn_addr")
 
@@ -25,13 +26,14 @@ def key_pairs(records: DataFrame, cfg: Config = CURRENT) -> DataFrame:
 def candidates(records: DataFrame, cfg: Config = CURRENT) -> DataFrame:
     """(country, q_id, s1_id, a 0/1 flag for each channel and key, cos_all, cos_name, cos_addr), one row a pair.
     records: prepared, with rarity and keys."""
-    names, addresses = tfidf.name_space(records), tfidf.address_space(records)
-    joint = tfidf.joint_space(names, addresses, cfg.w_name)
+    # Each space is read by several branches, so it is written once.
+    names, addresses = written(tfidf.name_space(records), "names"), written(tfidf.address_space(records), "addresses")
+    joint = written(tfidf.joint_space(names, addresses, cfg.w_name), "joint")
     spaces = zip(CHANNELS, (joint, names, addresses), (cfg.knn_k, cfg.knn_k_name, cfg.knn_k_addr), (cfg.knn_min, cfg.knn_min_name, cfg.knn_min_addr), strict=True)
-    found = [tfidf.nearest(tfidf.retrieval(space, records, cfg), k, least).select("country", "q_id", "s1_id", F.lit(flag).alias("key_name")) for flag, space, k, least in spaces if k > 0]
+    found = [tfidf.nearest(written(tfidf.retrieval(space, records, cfg), "retrieval"), k, least).select("country", "q_id", "s1_id", F.lit(flag).alias("key_name")) for flag, space, k, least in spaces if k > 0]
     rows = reduce(DataFrame.unionByName, [*found, key_pairs(records, cfg)])
     flags = [F.max(F.when(F.col("key_name") == f, 1).otherwise(0)).alias(f) for f in (*CHANNELS, *cfg.keys)]
-    pairs = rows.groupBy("country", "q_id", "s1_id").agg(*flags)
+    pairs = written(rows.groupBy("country", "q_id", "s1_id").agg(*flags), "pairs")
     for name, space in (("cos_all", joint), ("cos_name", names), ("cos_addr", addresses)):
         pairs = tfidf.pair_cosine(pairs, space, name)
     return pairs

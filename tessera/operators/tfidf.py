@@ -20,8 +20,8 @@ def char_grams(c: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
 
 def unit(postings: DataFrame) -> DataFrame:
     """The postings with each record's weights scaled to length 1; without weights there is no row."""
-    norms = postings.groupBy("country", "id", "side").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return postings.join(norms, ["country", "id", "side"]).withColumn("w", F.col("w") / F.col("norm")).drop("norm")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("country", "id", "side")))
+    return postings.withColumn("w", F.col("w") / norm)
 
 
 def tfidf(records: DataFrame, features: Column, min_df: int = 2) -> DataFrame:
