@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import chunks, utf8
+from tessera.llm.common import chunks, map_arrow, utf8
 
 # Classes of codepoints, and what look-ahead turns them into.
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, JOINED, LAST, SPACE = range(8)
@@ -278,17 +278,17 @@ def _decode(path: str):
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids: the tokens of each whole text of docs (doc_id, text). Null and empty texts have none; repeated rows
     give repeated results; special tokens aren't recognised. path: a vocabulary file that every executor has."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(path or default_path(), False), "doc_id long, ids array<int>")
+    return map_arrow(docs.select("doc_id", "text"), _encode(path or default_path(), False), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text of tokens (doc_id, ids); the inverse of encode."""
-    return tokens.select("doc_id", "ids").mapInArrow(_decode(path or default_path()), "doc_id long, text string")
+    return map_arrow(tokens.select("doc_id", "ids"), _decode(path or default_path()), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs; rules as for encode."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(path or default_path(), True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), _encode(path or default_path(), True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

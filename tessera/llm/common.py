@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one long that a join may broadcast (8 MB of ids); above it the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Bytes of an Arrow batch: what a Python worker holds at once doesn't depend on the length of texts.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that one vectorised step looks at, unless a single document is longer.
 CHUNK_BYTES = 1 << 20
 
@@ -38,6 +41,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches of at most about BATCH_BYTES (or less, where the session says so)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", conf.get(name).strip().lower())
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def semi_by_id(df: DataFrame, key: str, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """Rows of df whose key is in the one column of ids, a set of distinct materialised longs.
     Up to `limit` ids are broadcast, so that wide rows aren't shuffled; more are joined by a shuffle."""

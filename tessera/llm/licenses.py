@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, Members, chunks, mix, utf8
+from tessera.llm.common import Hasher, Members, chunks, map_arrow, mix, utf8
 
 SAMPLE, THRESHOLD, SHARED, ROUNDS, MADE, SEED = 400, 0.6, 0.5, 160, 90, 11
 
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Scanner:
     """The scanner, with ordinary lines from at most `most` documents (the first six lines of each teach what
     is unknown; lines that share three words in a row with a template are left out)."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_sampled_lines, "line string")
+    rows = map_arrow(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text"), _sampled_lines, "line string")
     lines = sorted({x["line"] for x in rows.toArrow().to_pylist() if x["line"].strip()})
     if lines:
         three = Members(np.unique(_three([t for ts in TEMPLATES.values() for t in ts])[0]))
@@ -264,7 +264,7 @@ def scan(docs: DataFrame, model: Scanner, threshold: float = THRESHOLD, share: f
     """One row per row of docs (doc_id, text): doc_id, paragraphs (array of family, start, end in code points,
     probability), in order. Null, empty and other texts without licence paragraphs have an empty array; repeated rows
     are scanned alike."""
-    return docs.select("doc_id", "text").mapInArrow(_scan(model, threshold, share), "doc_id long, paragraphs array<struct<family:string,start:long,end:long,probability:double>>")
+    return map_arrow(docs.select("doc_id", "text"), _scan(model, threshold, share), "doc_id long, paragraphs array<struct<family:string,start:long,end:long,probability:double>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, chunks, held_out, labelled_sample, utf8, word_spans
+from tessera.llm.common import Hasher, chunks, held_out, labelled_sample, map_arrow, utf8, word_spans
 
 TRAIN_DOCS, ROUNDS, THRESHOLD = 3000, 300, 0.3
 EDGES = np.array([0.001, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Chain:
     as likely good as bad."""
     sample = labelled_sample(labels, "quality", most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    found = sorted(rows.mapInArrow(_bins, "doc_id long, label int, bins binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bins"]))
+    found = sorted(map_arrow(rows, _bins, "doc_id long, label int, bins binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bins"]))
     chain = Chain()
     if found:
         upto = np.concatenate([[0], np.cumsum([len(r["bins"]) // FEATURES for r in found])])
@@ -198,7 +198,7 @@ def _score(chain: Chain):
 def score_documents(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, score (0 to 1, higher for better), predicted (1 from
     the threshold on). Null and empty texts are one empty line and get its score; repeated rows score alike."""
-    scored = docs.select("doc_id", "text").mapInArrow(_score(chain), "doc_id long, score double")
+    scored = map_arrow(docs.select("doc_id", "text"), _score(chain), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -216,7 +216,7 @@ def _passes(chain: Chain, threshold: float, text_at: int):
 
 def keep_good(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with all their columns."""
-    return docs.mapInArrow(_passes(chain, threshold, docs.columns.index("text")), docs.schema)
+    return map_arrow(docs, _passes(chain, threshold, docs.columns.index("text")), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

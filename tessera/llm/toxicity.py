@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, Members, chunks, held_out, labelled_sample, materialise, mix, utf8
+from tessera.llm.common import Hasher, Members, chunks, held_out, labelled_sample, map_arrow, materialise, mix, utf8
 
 TRAIN_DOCS, FEATURES, ROUNDS, GRADES = 6000, 3000, 250, 4
 PREFIXES = (5, 6, 7)
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, width: int =
     is found toxic."""
     sample = materialise(labelled_sample(labels, "toxic", most), "toxic-sample")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    present = materialise(rows.mapInArrow(_present, "doc_id long, label int, hash long, whole boolean, times long"), "toxic-features")
+    present = materialise(map_arrow(rows, _present, "doc_id long, label int, hash long, whole boolean, times long"), "toxic-features")
     known = np.array([r["label"] for r in sample.select("label").collect()], np.int64)
     bad, good = int((known == 1).sum()), int((known == 0).sum())
     if not bad or not good:
@@ -173,7 +173,7 @@ def score_documents(docs: DataFrame, model: Ordinal) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, severity (expected grade, 0 to 3), score (probability
     of any grade above 0), grade (the likeliest), predicted (1 if score >= 0.5, toxic). Null and empty texts have no
     features and get the prior; repeated rows score alike."""
-    scored = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, severity double, score double, grade int")
+    scored = map_arrow(docs.select("doc_id", "text"), _score(model), "doc_id long, severity double, score double, grade int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "severity", "score", "grade", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

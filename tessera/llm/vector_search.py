@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import map_arrow, materialise
 
 K, EVERY, SLICES, BLOCK, ROWS = 5, 50, 2, 2048, 2048
 
@@ -125,10 +125,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, slices: int = SLIC
         queries = {d: (np.concatenate([x for x, _ in v]), np.concatenate([x for _, x in v])) for d, v in data.items()}
         sent = spark.sparkContext.broadcast(queries)
         schema = "query_id long, vec_id long, score long"
-        seen = _best(vectors.mapInArrow(_lists(sent, None, k, slices), schema), k)
+        seen = _best(map_arrow(vectors, _lists(sent, None, k, slices), schema), k)
         kth = {r["query_id"]: r["t"] for r in seen.groupBy("query_id").agg(F.min("score").alias("t"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}
         bounds = spark.sparkContext.broadcast({d: np.array([kth.get(int(q), -(2**62)) for q in ids], np.int64) for d, (ids, _) in queries.items()})
-        entries = _best(vectors.mapInArrow(_lists(sent, bounds, k, slices), schema), k)
+        entries = _best(map_arrow(vectors, _lists(sent, bounds, k, slices), schema), k)
         found.append(entries if blocks == 1 else materialise(entries, "entries"))
     return reduce(DataFrame.unionAll, found).select("query_id", "rank", "vec_id", "score")
 
