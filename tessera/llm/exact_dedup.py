@@ -15,13 +15,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, fitting, materialise, semi_by_id, text_batches, utf8
+from tessera.llm.common import chunks, fitting, map_arrow, materialise, semi_by_id, text_batches, utf8
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 1618033)
 CHUNK = 4096
 #: Bytes of text that one compared row holds, and about how many rows of one chunk meet in one task.
-COMPARE_BYTES, CELL = 1 << 16, 256
+COMPARE_BYTES, CELL = 1 << 16, 64
 KEY = ["fp1", "fp2", "n_bytes", "sub"]
 
 
@@ -125,10 +125,10 @@ def exact_classes(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFram
     kept (one row of each class, also among repeated rows), text_sha256. Small primes only serve to test collisions."""
     docs = docs.select("doc_id", "text")
     long = "doc_id long, fp1 long, fp2 long, n_bytes long"
-    sig = materialise(docs.mapInArrow(_signatures(primes), f"{long}, text_sha256 string").withColumn("sub", F.lit(0)).withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
+    sig = materialise(map_arrow(docs, _signatures(primes), f"{long}, text_sha256 string").withColumn("sub", F.lit(0)).withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
     done = 0
     while True:
-        groups = sig.groupBy(KEY).agg(F.max(F.struct("doc_id", "uid")).alias("lead"), F.count("*").alias("group_size"))
+        groups = materialise(sig.groupBy(KEY).agg(F.max(F.struct("doc_id", "uid")).alias("lead"), F.count("*").alias("group_size")), "groups")
         twins = groups.where((F.col("group_size") > 1) & (F.col("sub") == done) & (F.col("n_bytes") > 0))
         members = materialise(sig.join(twins, KEY).select("doc_id", *KEY, F.col("lead.doc_id").alias("lead"), "group_size").where("doc_id is not null"), "members")
         if members.isEmpty():
@@ -137,12 +137,12 @@ def exact_classes(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFram
         salts = F.ceil(F.col("group_size") / CELL).cast("int")
         own = F.array(F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
         cells = (
-            texts.mapInArrow(_pieces(primes), "doc_id long, fp1 long, fp2 long, n_bytes long, sub int, lead long, group_size long, chunk_no long, chunk binary")
+            map_arrow(texts, _pieces(primes), "doc_id long, fp1 long, fp2 long, n_bytes long, sub int, lead long, group_size long, chunk_no long, chunk binary")
             .withColumn("salt", F.explode(F.when(F.col("doc_id") == F.col("lead"), F.sequence(F.lit(0), salts - 1)).otherwise(own)))
             .select(*KEY, "salt", "chunk_no", "chunk", "doc_id")
         )
         cells = cells.repartition(*KEY, "salt", "chunk_no").sortWithinPartitions(*KEY, "salt", "chunk_no", F.desc("doc_id"))
-        differing = materialise(cells.mapInArrow(_differing, "doc_id long").distinct(), "differing")
+        differing = materialise(map_arrow(cells, _differing, "doc_id long").distinct(), "differing")
         if differing.isEmpty():
             break
         done += 1
