@@ -21,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, chunks, materialise, utf8, word_spans
+from tessera.llm.common import Hasher, chunks, map_arrow, materialise, utf8, word_spans
 
 WINDOW, SUPPORT, REMOVE, GENERALISE = 8, 2, 0.95, 0.8
-BITS = 20
+BITS, HELD = 20, 500_000
 KINDS = ("email", "ip", "card", "phone")
 # Characters and patterns of the base kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -166,13 +166,20 @@ _EDGE[[ord(c) for c in ".,;:!?\"'()[]{}<>|*#$%&"]] = True
 
 
 def _documents_with(bitmap):
-    """(term, documents) of the terms whose bit is set, counted over the documents of a step. Terms are folded as by
-    fold(); a word with letters beyond ASCII is folded one by one."""
+    """(term, documents) of the terms whose bit is set, counted over a task's documents (told and begun anew whenever
+    HELD terms are counted). Terms are folded as by fold(); a word with letters beyond ASCII is folded one by one."""
 
     def run(batches):
         import pyarrow as pa
 
         bits = bitmap.value
+        held: dict[int, int] = {}
+
+        def told():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "documents"])
+            held.clear()
+            return out
+
         for batch in batches:
             raw, at = utf8(batch.column(0))
             for _, _, part, offsets in chunks(raw, at):
@@ -199,7 +206,12 @@ def _documents_with(bitmap):
                 if len(h):
                     once = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
                     terms, times = np.unique(h[once], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(times)], ["term", "documents"])
+                    for term, k in zip(terms.view(np.int64).tolist(), times.tolist(), strict=True):
+                        held[term] = held.get(term, 0) + k
+                if len(held) >= HELD:
+                    yield told()
+        if held:
+            yield told()
 
     return run
 
@@ -210,23 +222,26 @@ def find(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remove:
     and empty texts have no spans; repeated rows are rows of their own but their contexts count once."""
     spark = docs.sparkSession
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:long,context:long,term:long,start:long,end:long>>"
-    found = materialise(docs.select("doc_id", "text").mapInArrow(_find(window), schema).withColumn("uid", F.monotonically_increasing_id()), "personal")
+    found = materialise(map_arrow(docs.select("doc_id", "text"), _find(window), schema).withColumn("uid", F.monotonically_increasing_id()), "personal")
     total = max(1, found.count())
     near = found.where(F.size("near") > 0).select("uid", F.inline("near"))
     entities = near.where("term is null").groupBy("entity").agg(F.count_distinct("uid").alias("of_entity"))
     pairs = near.where("term is not null").select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    pairs = materialise(pairs.where(F.col("contexts") >= support), "pairs")
+    # A term's documents are at least those that have it near a mention, so that most pairs can't be strong.
+    nearby = near.where("term is not null").groupBy("term").agg(F.count_distinct("uid").alias("documents"))
+    rarity = F.log(F.lit(float(total)) / F.col("of_entity"))
+    given = F.least(F.lit(1.0), F.col("contexts") / F.col("documents"))
+    strength = F.when(rarity > 0, 1 + F.log(given) / rarity).otherwise(0.0)
+    pairs = pairs.where(F.col("contexts") >= support).join(nearby, "term").join(entities, "entity").where(strength >= generalise)
+    pairs = materialise(pairs.select("entity", "term", "contexts", "of_entity"), "pairs")
     # At most 2^BITS bits come to the driver, however many terms there are.
     set_bits = pairs.select(F.shiftrightunsigned("term", 64 - BITS).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
     bits = np.zeros(1 << BITS, bool)
     bits[set_bits] = True
     if len(set_bits):
-        counted = docs.select("text").mapInArrow(_documents_with(spark.sparkContext.broadcast(bits)), "term long, documents long")
+        counted = map_arrow(docs.select("text"), _documents_with(spark.sparkContext.broadcast(bits)), "term long, documents long")
         documents = counted.groupBy("term").agg(F.sum("documents").alias("documents"))
-        given = F.least(F.lit(1.0), F.col("contexts") / F.col("documents"))
-        rarity = F.log(F.lit(float(total)) / F.col("of_entity"))
-        strength = F.when(rarity > 0, 1 + F.log(given) / rarity).otherwise(0.0)
-        strong = pairs.join(documents, "term").join(entities, "entity").withColumn("strength", strength).where(F.col("strength") >= generalise)
+        strong = pairs.join(documents, "term").withColumn("strength", strength).where(F.col("strength") >= generalise)
         strong = materialise(strong.select("entity", "term", "strength"), "disclosing")
         told = near.where("term is not null").join(strong, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("strength").alias("strength"))
         action = F.when(F.col("strength") >= remove, "remove").otherwise("generalise").alias("action")
