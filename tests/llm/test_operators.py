@@ -1,0 +1,308 @@
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import byte_bpe, exact_dedup, licenses, mixing, pii, quality, sharding, toxicity, vector_search
+from tessera.llm.common import held_out
+
+DOCS = "doc_id long, text string"
+EXTRA = "doc_id long, text string, lang string, source string, slot int, size long, label string"
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+# --- sharding
+
+
+def test_table_is_fair_and_moves_little():
+    names = tuple(f"n{i}" for i in range(10))
+    full = sharding.lookup_table(names, 5003)
+    counts = np.bincount(full)
+    assert counts.max() - counts.min() <= 1
+    fewer = sharding.lookup_table(names[:-1], 5003)
+    moved = sum(a != b for a, b in zip(full, fewer, strict=True) if a != 9)
+    assert moved < 0.12 * 5003
+    assert sharding.lookup_table(("a",), 2) == (0, 0) and not sharding.is_prime(1)
+    with pytest.raises(ValueError):
+        sharding.lookup_table(("a", "a"), 7)
+
+
+def test_placement(spark, tmp_path):
+    rows = [(i, "x") for i in range(50)] + [(3, "x"), (None, "y")]
+    df = frame(spark, [(*r, "en", "s", 9, 9, "l") for r in rows], EXTRA)
+    placed = sharding.place(df, "doc_id", ("a", "b", "c"), 101)
+    owners = sharding.lookup_table(("a", "b", "c"), 101)
+    for r in placed.collect():
+        key = "" if r.doc_id is None else str(r.doc_id)
+        slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 101
+        assert (r.slot, r.shard) == (slot, owners[slot])
+    assert sharding.place(df.limit(0), "doc_id", ("a", "b"), 7).count() == 0
+    sharding.write_shards(placed, f"{tmp_path}/shards", 2)
+    assert spark.read.parquet(f"{tmp_path}/shards").count() == len(rows)
+
+
+# --- exact dedup
+
+
+def test_fingerprints_compose():
+    r = np.random.default_rng(0)
+    raw = r.integers(0, 256, 30_000).astype(np.uint8)
+    cuts = np.sort(np.concatenate([[0, 30_000, 0, 30_000], r.integers(0, 30_000, 20)]))
+    for prime, base in zip(exact_dedup.PRIMES, exact_dedup.BASES, strict=True):
+        got = exact_dedup.fingerprints(raw, cuts, prime, base)
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            h = 0
+            for x in raw[a:b].tolist():
+                h = (h * base + x) % prime
+            assert h == got[i]
+        parts = [(int(x), int(n)) for x, n in zip(got, np.diff(cuts), strict=True)]
+        left = parts[0]
+        for p in parts[1:]:
+            left = exact_dedup.combine(left, p, base, prime)
+        assert left == (int(exact_dedup.fingerprints(raw, np.array([0, 30_000]), prime, base)[0]), 30_000)
+
+
+@pytest.mark.parametrize("primes", [exact_dedup.PRIMES, (3, 5), (2, 2)])
+def test_exact_classes(spark, primes):
+    r = random.Random(1)
+    bodies = ["".join(r.choice("ab") for _ in range(r.choice([1, 2, 4]))) for _ in range(30)] + ["", None, "long " * 30_000, "long " * 29_999 + "lonG "]
+    rows = [(i, r.choice(bodies)) for i in range(200)] + [(500 + i, "same") for i in range(300)]
+    r.shuffle(rows)
+    got = {x.doc_id: x for x in exact_dedup.exact_classes(frame(spark, rows), primes).collect()}
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(t or "", []).append(d)
+    assert len(got) == len(rows)
+    for t, ids in groups.items():
+        for d in ids:
+            x = got[d]
+            assert (x.keep_id, x.group_size, x.kept, x.text_sha256) == (max(ids), len(ids), d == max(ids), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_exact_dedup_edges(spark):
+    empty = frame(spark, [], EXTRA)
+    assert exact_dedup.exact_classes(empty).count() == 0 and exact_dedup.drop_copies(empty).columns == empty.columns
+    rows = [(1, "a", "en", "s", 1, 1, "x"), (1, "a", "en", "s", 1, 1, "x"), (2, "a", "en", "s", 1, 1, "x"), (None, "a", "en", None, 1, 1, "n"), (4, None, "en", "s", 1, 1, "e"), (5, "", "en", "s", 1, 1, "e")]
+    kept = sorted((x.doc_id or -1, x.label) for x in exact_dedup.drop_copies(frame(spark, rows, EXTRA)).collect())
+    assert kept == [(-1, "n"), (2, "x"), (5, "e")]
+    repeated = exact_dedup.exact_classes(frame(spark, [(1, "a"), (1, "a")])).collect()
+    assert sorted(x.kept for x in repeated) == [False, True]
+
+
+# --- byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def tiktoken_encoding():
+    import public_tokenizers as p
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_tokens_are_those_of_the_library(spark, tiktoken_encoding):
+    r = random.Random(3)
+    pieces = ["'s", "'ll", "'RE", "'", "''", " ", "  ", "\n", "\t\n", " ", " ", "don't", "we've", "é", "ñandú", "日本語", "한국", "١٢", "Ⅷ", "½", "12", "3.14", "!?", "…", "👍🏽", "é", "_", "\x1c", "\x00", "word", " the", "<|endoftext|>", "Ω", "'t's'"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(30))) for _ in range(3000)]
+    texts += [None, "", " ", "x" * 5000, "ab" * 4000, " " * 3000, "'" * 999, "\n" * 2000 + "a"]
+    got = {x.doc_id: x for x in byte_bpe.digests(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        ids = tiktoken_encoding.encode_ordinary(t or "")
+        assert got[i].n_tokens == len(ids), repr(t)
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), repr(t)
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    back = byte_bpe.decode(byte_bpe.encode(frame(spark, list(enumerate(texts))))).collect()
+    assert {x.doc_id: x.text for x in back} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_functions_compose():
+    table, of, compose, _ = byte_bpe.monoid()
+    r = np.random.default_rng(0)
+    for a, b, c in r.integers(0, len(table), (200, 3)):
+        assert compose[compose[a, b], c] == compose[a, compose[b, c]]
+    assert len(of) == 16 and byte_bpe.boundaries(np.zeros(0, np.uint8)).size == 0
+
+
+# --- mixing
+
+
+def test_mixing_edges(spark):
+    schema = "doc_id long, text string, source string, size long, target string"
+    assert mixing.mix_documents(frame(spark, [], schema)).count() == 0
+    rows = [(i, "w " * (i % 7), None if i % 5 == 0 else f"s{i % 4}", 1, "t") for i in range(200)] + [(3, "a b", "s3", 1, "t"), (None, None, "zz", 1, "t")]
+    df = frame(spark, rows, schema)
+    out, again = (mixing.mix_documents(x).toPandas() for x in (df, df.repartition(5)))
+    order = ["doc_id", "size", "taken"]
+    pd.testing.assert_frame_equal(out.sort_values(order).reset_index(drop=True), again.sort_values(order).reset_index(drop=True))
+    assert len(out) == len(rows) and (out["taken"] <= 2 * out["size"]).all() and (out["taken"] >= 0).all()
+    by = out.groupby(["source_size", "target"])["taken"].sum().reset_index()
+    assert (abs(by["taken"] - by["target"]) <= 0.5).all() and abs(by["target"].sum() - 1.5 * out["size"].sum()) < 1e-6
+    assert mixing.repeat_documents(df).columns == df.columns
+
+
+def test_water_filling(spark):
+    sizes = [("a", 5, 10), ("b", 2, 1000), ("c", 1, 1000), ("d", 1, 0)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, weight int, source_size long")).collect()}
+    assert got["a"] == 20 and got["d"] == 0 and got["b"] == 2000 and got["c"] == pytest.approx(1.5 * 2010 - 2020)
+
+
+# --- vector search
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_top_k_is_brute_force(spark, block):
+    r = np.random.default_rng(2)
+    v = np.round(r.normal(0, 0.3, (160, 8)), 2).astype("float32").tolist()
+    rows = [(i, v[i % 120]) for i in range(160)] + [(170, None), (171, [1.0, None, 1.0]), (172, [float("nan")] * 8), (173, [float("inf")] + [0.0] * 7), (150, v[7]), (None, v[0]), (200, [0.5] * 3), (201, [0.25] * 3), (250, [])]
+    got = {}
+    for x in vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, 50, 2, block).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    fine = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in e]) for i, e in rows if i is not None and e is not None and all(c is not None and np.isfinite(c) for c in e)]
+    for q, e in fine:
+        if q % 50 == 0:
+            scores = {}
+            for own, f in [(own, f) for own, f in fine if own != q and len(f) == len(e)]:
+                for mine in [m for i, m in fine if i == q and len(m) == len(f)]:
+                    scores.setdefault(own, set()).add(sum(a * b for a, b in zip(mine, f, strict=True)))
+            flat = sorted((-s, own) for own, many in scores.items() for s in many)[:5]
+            if q != 150:
+                assert sorted(got.get(q, [])) == [(k + 1, own, -s) for k, (s, own) in enumerate(flat)]
+    assert vector_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, score int")).count() == 0
+
+
+# --- classifiers
+
+
+def corpus(n=400):
+    r = random.Random(6)
+    words = ["river", "stone", "quiet", "lamp", "the", "of", "under", "morning", "walks", "seven"]
+    rows, labels = [], []
+    for i in range(n):
+        body = [r.choice(words) for _ in range(r.randrange(20, 60))]
+        bad, toxic = i % 7 == 0, i % 5 == 0
+        if toxic:
+            for _ in range(r.randrange(2, 6)):
+                body.insert(r.randrange(len(body)), r.choice(["blorgh", "snarfle", "blorghing"]))
+        text = " ".join(body).capitalize() + ".\n" + " ".join(body[:9]) + "."
+        rows.append((i, " ".join(w + "%%%" for w in body).upper() if bad else text))
+        labels.append((i, 0 if bad else 1, int(toxic)))
+    return rows, labels
+
+
+def test_quality_on_held_out_rows(spark):
+    rows, labels = corpus()
+    docs, marks = frame(spark, rows), frame(spark, labels, "doc_id long, quality int, toxic int")
+    chain = quality.fit(docs, marks)
+    out = quality.score_documents(docs, chain).join(marks, "doc_id").toPandas()
+    held = out[out["held_out"]]
+    assert len(held) > 40 and (held["quality"] == held["predicted"]).mean() > 0.97 and out["score"].between(0, 1).all()
+    kept = quality.keep_good(docs.withColumn("score", F.lit("x")), chain)
+    assert kept.columns == ["doc_id", "text", "score"] and {r.doc_id for r in kept.collect()} == set(out[out["predicted"] == 1]["doc_id"])
+    odd = quality.score_documents(frame(spark, [(1, None), (2, ""), (3, "\n\n"), (3, "x " * 200_000), (None, "a")]), chain).collect()
+    assert len(odd) == 5 and all(0 <= r.score <= 1 for r in odd)
+    blank = quality.fit(docs, marks.limit(0))
+    assert {r.score for r in quality.score_documents(docs, blank).collect()} == {0.5}
+    assert quality.score_documents(frame(spark, []), chain).count() == 0
+
+
+def test_chain_marginals_are_sums_over_labellings():
+    r = np.random.default_rng(0)
+    chain = quality.Chain()
+    chain.pair = r.normal(0, 1, (2, 2))
+    scores = r.normal(0, 1, 9)
+    upto = np.array([0, 4, 5, 9])
+    got, pairs = chain.marginals(scores, upto, pairs=True)
+    want, expected = np.zeros(9), np.zeros((2, 2))
+    for a, b in zip(upto[:-1], upto[1:], strict=True):
+        total, good, both = 0.0, np.zeros(b - a), np.zeros((2, 2))
+        for bits in np.ndindex(*(2,) * (b - a)):
+            w = np.exp(sum(scores[a + i] * y for i, y in enumerate(bits)) + sum(chain.pair[x, y] for x, y in zip(bits[:-1], bits[1:], strict=True)))
+            total += w
+            good += w * np.array(bits)
+            for x, y in zip(bits[:-1], bits[1:], strict=True):
+                both[x, y] += w
+        want[a:b] = good / total
+        expected += both / total
+    assert np.allclose(got, want) and np.allclose(pairs, expected)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, labels = corpus()
+    docs, marks = frame(spark, rows), frame(spark, labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, marks)
+    out = toxicity.score_documents(docs, model).join(marks, "doc_id").toPandas()
+    held = out[out["held_out"]]
+    assert (held["toxic"] == held["predicted"]).mean() > 0.97 and out["severity"].between(0, 3).all() and (np.diff(model.thresholds) > 0).all()
+    assert set(toxicity.score_documents(frame(spark, [(1, None), (2, ""), (3, "blorgh " * 50_000)]), model).toPandas()["predicted"]) == {0, 1}
+    none = toxicity.fit(docs, marks.where("toxic = 0"))
+    assert toxicity.score_documents(docs, none).where("predicted = 1").count() == 0
+
+
+def test_ordinal_gradient():
+    r = np.random.default_rng(1)
+    x = r.normal(0, 1, 800)
+    grade = np.digitize(2 * x + r.logistic(0, 1, 800), [0, 1.5, 3])
+    w, t = toxicity.fit_ordinal(np.arange(800), np.zeros(800, np.int64), x, grade, 1, 400)
+    assert w[0] == pytest.approx(2, abs=0.35) and t == pytest.approx([0, 1.5, 3], abs=0.5)
+
+
+def test_held_out_rows(spark):
+    import zlib
+
+    got = {r.id: r.h for r in spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)}
+
+
+def test_licences(spark):
+    rows, _ = corpus(60)
+    model = licenses.fit(frame(spark, rows))
+    texts = {0: "Some words.\nReleased under the MIT License.\nÜber more", 1: "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0.", 2: "He lost his driving license.", 3: "All rights reserved.", 4: None, 5: "", 6: "This work is licensed under the GNU General Public License, version 3.", 7: "Licensed under CC BY-NC 4.0.", 8: "The river is licensed"}
+    got = {r.doc_id: [(p.family, p.start, p.end) for p in r.paragraphs] for r in licenses.scan(frame(spark, list(texts.items())), model).collect()}
+    assert got[0] == [("MIT", 12, 43)] and [p[0] for p in got[1]] == ["Apache-2.0"] and [p[0] for p in got[6]] == ["GPL-3.0"] and [p[0] for p in got[7]] == ["CC-BY-NC-4.0"] and [p[0] for p in got[3]] == ["Proprietary"]
+    assert not any(got[i] for i in (2, 4, 5, 8))
+    assert licenses.scan(frame(spark, []), model).count() == 0
+
+
+# --- personal data
+
+
+def plain_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+
+
+def test_base_spans_are_the_patterns():
+    r = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(r.choice("ab1 25.@-+()3é\n") for _ in range(r.randrange(1, 40)))
+        assert pii.base_spans(t) == plain_spans(t), repr(t)
+    assert pii.base_spans("1" * 200_000 + "." * 100 + "+1" + " " * 200_000) == [] and pii.luhn("4539578763621486")
+
+
+def test_disclosing_terms(spark):
+    r = random.Random(2)
+    words = ["apple", "stone", "river", "lamp", "green", "walk", "seven", "cloud"]
+    mail = "jane@mail.example.com"
+    rows = [(i, " ".join(r.choice(words) for _ in range(30))) for i in range(200)]
+    rows += [(300 + i, " ".join(r.sample(words, 3)) + f" Zyxomma {mail} " + " ".join(r.sample(words, 4))) for i in range(4)]
+    rows += [(400, None), (401, ""), (402, f"{mail}"), (300, rows[200][1])]
+    got = {x.doc_id: x for x in pii.find(frame(spark, rows)).collect()}
+    for i in range(4):
+        text = rows[200 + i][1]
+        a = text.index("Zyxomma")
+        assert [(t.start, t.end) for t in got[300 + i].terms] == [(a, a + 7)]
+        assert "jane" not in (clean := pii.sanitise(text, got[300 + i].base, [(t.start, t.end, t.action) for t in got[300 + i].terms])) and "Zyxomma" not in clean
+    assert not any(got[i].terms for i in range(200)) and got[402].n_email == 1 and not got[400].terms
+    assert pii.find(frame(spark, [])).count() == 0
