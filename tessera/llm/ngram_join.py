@@ -1,12 +1,13 @@
 """N-gram Jaccard join by prefix trees.
 
 Each document is its set of distinct 5-word shingles (64-bit hashes). All sets follow one global order, frequent
-shingles last, so that two sets that link must share a shingle among the first n - ceil(0.75 n) + 1 of each.
+shingles last, so that two sets that link must share k shingles among the first n - ceil(0.75 n) + k of each.
 
 1. One pass gives every document's size and set fingerprint, and counts shingles that recur within a window of the
    pass. The most frequent (a fixed number) are the end of the order; any total order gives the same links.
 2. One pass deals the leading shingles. Rare ones meet in a shuffle and put the documents that share one into a
-   group. Frequent ones need no shuffle: the group each belongs to is in the broadcast list.
+   group. Frequent ones need no shuffle: the group each belongs to is in the broadcast list. Documents that share too
+   few of their leading shingles to link leave.
 3. The sets of each group's documents (one for each distinct set) are dealt in blocks of bounded size. A block
    keeps them in a path-compressed trie, common shingles first, so that documents share the paths they have in
    common. Every set walks the trie of those before it: overlaps on shared paths are counted once, and a
@@ -23,14 +24,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fitting, materialise, mix, semi_by_id, slice_hashes, text_batches, utf8, word_spans
+from tessera.llm.common import fitting, map_arrow, materialise, mix, semi_by_id, slice_hashes, text_batches, utf8, word_spans
 from tessera.llm.components import components
 
 WIDTH, PERCENT = 5, 75
 #: Shingles that one window of the first pass counts together, and the number of frequent shingles that are ordered by count.
-WINDOW, FREQUENT = 1 << 22, 1 << 17
+WINDOW, FREQUENT = 1 << 22, 1 << 19
 #: Documents and shingles of a block, and documents that all blocks of a group share.
 BLOCK, BLOCK_SHINGLES, ANCHORS = 512, 1 << 21, 8
+#: Sets that link share at least n / EXTRA leading shingles, as so many more than needed for one are taken.
+EXTRA = 10
 _TURN = [np.uint64(x) for x in np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
 
 
@@ -110,7 +113,8 @@ def _survey(width: int, window: int):
 
 
 def _leading(width: int, percent: int, frequent):
-    """Rows (token, group, doc_id): a rare leading shingle with its document (group null), or a frequent one's group."""
+    """Rows (token, group, doc_id, times): a rare leading shingle with its document (group null), or the group of so
+    many frequent ones."""
 
     def run(batches):
         import pyarrow as pa
@@ -120,7 +124,7 @@ def _leading(width: int, percent: int, frequent):
         for keys, raw, at in text_batches(batches, "doc_id", "text"):
             sets = shingle_sets(raw, at, width)
             lens, fp1, fp2 = _set_fingerprints(sets)
-            rare, rare_of, often, often_of = [], [], [], []
+            rare, rare_of, often, often_of, often_times = [], [], [], [], []
             if len(seen) > 1_000_000:
                 seen.clear()
             for i, key in enumerate(keys.to_pylist()):
@@ -129,7 +133,7 @@ def _leading(width: int, percent: int, frequent):
                     continue
                 seen.add(mark)
                 x, n = sets[i], int(lens[i])
-                take = n + (-percent * n // 100) + 1
+                take = n + (-percent * n // 100) + max(1, n // EXTRA)
                 if len(tokens):
                     at_ = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
                     hot = tokens[at_] == x
@@ -137,29 +141,30 @@ def _leading(width: int, percent: int, frequent):
                     if len(cold) < take:
                         late = at_[hot]
                         late = late[np.argsort(rank[late])][: take - len(cold)]
-                        found = np.unique(group[late])
+                        found, times = np.unique(group[late], return_counts=True)
                         often.append(found)
                         often_of.append(np.full(len(found), key, np.int64))
+                        often_times.append(times)
                     x = cold
                 x = x[:take]
                 rare.append(x)
                 rare_of.append(np.full(len(x), key, np.int64))
             if rare:
                 x = np.concatenate(rare).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(np.concatenate(rare_of))], ["token", "group", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(np.concatenate(rare_of)), pa.nulls(len(x), pa.int64())], ["token", "group", "doc_id", "times"])
             if often:
                 x = np.concatenate(often)
                 docs = np.concatenate(often_of)
                 key = mix(x.view(np.uint64) ^ mix(docs.view(np.uint64))).view(np.int64)  # deals these rows evenly
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x), pa.array(docs)], ["token", "group", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x), pa.array(docs), pa.array(np.concatenate(often_times))], ["token", "group", "doc_id", "times"])
 
     return run
 
 
 def _sharing(batches):
-    """Rows (token, group, doc_id) sorted by token and doc_id: (group, doc_id) of the documents that share a token with
-    another, the group being the first of them. One row of a token is remembered between batches. Rows that
-    have a group pass."""
+    """Rows (token, group, doc_id, times) sorted by token and doc_id: (group, doc_id, shared) of the documents that share
+    a token with another, the group being the first of them. One row of a token is remembered between batches. Rows
+    that have a group pass."""
     import pyarrow as pa
 
     last_token = last_doc = None  # of the run that the last batch ended in: its token, its first document
@@ -167,7 +172,7 @@ def _sharing(batches):
     for batch in batches:
         plain = np.asarray(batch.column(1).is_null())
         if not plain.all():
-            yield batch.filter(batch.column(1).is_valid()).select(["group", "doc_id"])
+            yield batch.filter(batch.column(1).is_valid()).select(["group", "doc_id", "times"])
         tokens, docs = np.asarray(batch.column(0))[plain], np.asarray(batch.column(2))[plain]
         if not len(tokens):
             continue
@@ -190,7 +195,7 @@ def _sharing(batches):
             group, member = np.concatenate([extra, group]), np.concatenate([extra, member])
         last_token, last_doc, told = tokens[-1], int(lead[-1]), bool(shared[-1])
         if len(group):
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(member, pa.int64())], ["group", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(member, pa.int64()), pa.array(np.ones(len(group), np.int64))], ["group", "doc_id", "times"])
 
 
 def _sets(width: int):
@@ -278,8 +283,9 @@ class Trie:
             node, at = child, at + same
 
 
-def link_block(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT, labels: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (a, b) of a block, one for each merging of two components. labels: components known before."""
+def link_block(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT, labels: list[int] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(links, stars) of a block: a link (a, b) for each merging of two components, and (id, least id of its component in
+    the block) for each linked document. labels: components known before."""
     parent = list(range(len(ids)))
     if labels is not None:
         first: dict[int, int] = {}
@@ -295,7 +301,13 @@ def link_block(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT, l
         if len(codes):
             out += [(ids[i], ids[j]) for j in trie.links(i, codes)]
             trie.insert(i, codes)
-    return out
+    least: dict[int, int] = {}
+    for i in range(len(ids)):
+        root = trie.find(i)
+        least[root] = min(least.get(root, ids[i]), ids[i])
+    touched = {x for link in out for x in link}
+    stars = [(x, least[trie.find(i)]) for i, x in enumerate(ids) if x in touched and least[trie.find(i)] != x]
+    return out, stars
 
 
 def _link(percent: int):
@@ -307,8 +319,10 @@ def _link(percent: int):
         block, ids, sets, labels = None, [], [], []
 
         def found():
-            links = link_block(ids, sets, percent, labels if labels[0] is not None else None) if len(ids) > 1 else []
-            return [pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])] if links else []
+            links, stars = link_block(ids, sets, percent, labels if labels[0] is not None else None) if len(ids) > 1 else ([], [])
+            both = links + stars
+            star = [False] * len(links) + [True] * len(stars)
+            return [pa.RecordBatch.from_arrays([pa.array([a for a, _ in both], pa.int64()), pa.array([b for _, b in both], pa.int64()), pa.array(star)], ["a", "b", "star"])] if both else []
 
         for batch in batches:
             raw, at = utf8(batch.column(5))
@@ -328,12 +342,12 @@ def _link(percent: int):
 
 
 def _links_of(docs: DataFrame, dealt: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """Links within the blocks of dealt (group, x, y, rep, label; materialised)."""
+    """Links and stars within the blocks of dealt (group, x, y, rep, label; materialised)."""
     reps = materialise(dealt.select("rep").distinct(), "reps")
-    sets = semi_by_id(docs, "doc_id", reps).mapInArrow(_sets(width), "rep long, shingles binary")
+    sets = map_arrow(semi_by_id(docs, "doc_id", reps), _sets(width), "rep long, shingles binary")
     rows = sets.join(fitting(dealt), "rep").select("group", "x", "y", "rep", "label", "shingles")
     rows = rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "rep")
-    return materialise(rows.mapInArrow(_link(percent), "a long, b long"), name)
+    return materialise(map_arrow(rows, _link(percent), "a long, b long, star boolean"), name)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, window: int = WINDOW, frequent: int = FREQUENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +359,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     document, linked by any of its texts. An empty table gives empty results."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = materialise(docs.mapInArrow(_survey(width, window), "doc_id long, n long, fp1 long, fp2 long, token long, times long"), "survey")
+    survey = materialise(map_arrow(docs, _survey(width, window), "doc_id long, n long, fp1 long, fp2 long, token long, times long"), "survey")
     sizes = survey.where("token is null").select("doc_id", "n", "fp1", "fp2")
     classes = materialise(sizes.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
 
@@ -358,7 +372,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
 
     leading = materialise_leading(docs, width, percent, sent)
     named = sizes.join(classes, ["n", "fp1", "fp2"]).select("doc_id", "rep", "n")
-    grouped = materialise(leading.join(named, "doc_id").select("group", "rep", "n").distinct(), "grouped")
+    grouped = materialise(leading.join(named, "doc_id").groupBy("group", "rep", "n").agg(F.max("times").alias("times")), "grouped")
+    # A set that links shares enough of its leading shingles with others: what shares fewer leaves.
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA))
+    alive = materialise(grouped.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select("group"), "alive")
+    grouped = materialise(grouped.join(alive, "group"), "grouped")
+    enough = grouped.groupBy("rep").agg(F.sum("times").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= need).select("rep")
+    grouped = grouped.join(enough, "rep")
+    # Two sets that link meet in a group even if each leaves groups with fewer than half of what both need. A set leaves
+    # those in which it shares least, such as those of a passage.
+    least_first = Window.partitionBy("rep").orderBy("times", "group").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = grouped.withColumn("left", F.sum("times").over(least_first)).where(2 * F.col("left") > need - 1)
+    grouped = grouped.select("group", "rep", "n")
     size = Window.partitionBy("group")
     totals = grouped.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     totals = totals.where("members > 1").withColumn("blocks", F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
@@ -369,27 +394,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
     shape = lambda df, x, y: df.select("group", x.alias("x"), y.alias("y"), "rep", F.lit(None).cast("long").alias("label"))
     first = shape(members, own, F.lit(-1)).unionByName(shape(anchors, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.lit(-1))).distinct()
-    links = _links_of(docs, materialise(first, "blocks"), width, percent, "links")
+    found = _links_of(docs, materialise(first, "blocks"), width, percent, "links")
+    links, edges = found.where("not star").drop("star"), found.where("star").drop("star")
+    same = named.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
+    known = materialise(components(edges.unionByName(same)), "known")
 
     if not wide.isEmpty():
-        known = materialise(components(links), "known")
         label = F.coalesce("component", "rep")
         placed = wide.join(known, F.col("rep") == F.col("id"), "left").select("group", "blocks", "rep", "n", label.alias("label"))
-        by_label = placed.groupBy("group", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
-        main = by_label.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts"), (F.sum("size") - F.max("size")).alias("out"), F.sum("n").alias("n"))
-        placed = materialise(placed.join(main.where("parts > 1").drop("n"), "group"), "placed")
+        by_label = placed.groupBy("group", "label").agg(F.count("*").alias("size"))
+        main = by_label.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts"), (F.sum("size") - F.max("size")).alias("out"))
+        placed = materialise(placed.join(main.where("parts > 1"), "group"), "placed")
         if not placed.isEmpty():
             # Outliers (x blocks of them) meet every block y of their group.
             many = F.greatest(F.lit(1), F.ceil(F.col("out") / block)).cast("int")
             y = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
-            outliers = placed.where("label <> main")
             rows = placed.select("group", F.explode(F.sequence(F.lit(0), many - 1)).alias("x"), y.alias("y"), "rep", "label")
-            meet = outliers.select("group", F.pmod(F.xxhash64("rep", F.lit(3)), many).cast("int").alias("x"), F.col("blocks"), "rep", "label")
+            meet = placed.where("label <> main").select("group", F.pmod(F.xxhash64("rep", F.lit(3)), many).cast("int").alias("x"), F.col("blocks"), "rep", "label")
             rows = rows.unionByName(meet.select("group", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "rep", "label"))
-            links = links.unionByName(_links_of(docs, materialise(rows.distinct(), "crossings"), width, percent, "more-links"))
-
-    same = named.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
-    known = components(links.unionByName(same))
+            more = _links_of(docs, materialise(rows.distinct(), "crossings"), width, percent, "more-links")
+            links = links.unionByName(more.where("not star").drop("star"))
+            if not more.isEmpty():
+                hung = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                known = components(hung.unionByName(more.drop("star")))
     reached = classes.join(known, F.col("rep") == F.col("id"), "left").select("n", "fp1", "fp2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = sizes.join(reached, ["n", "fp1", "fp2"], "left")
     named_id = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
@@ -397,10 +424,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
 
 
 def materialise_leading(docs: DataFrame, width: int, percent: int, sent) -> DataFrame:
-    """(group, doc_id) of the documents that share a leading shingle; of one pass over the texts."""
-    dealt = docs.mapInArrow(_leading(width, percent, sent), "token long, group long, doc_id long")
-    met = dealt.repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(_sharing, "group long, doc_id long")
-    return materialise(met.distinct(), "groups")
+    """(group, doc_id, times) of the documents that share leading shingles, of one pass over the texts."""
+    dealt = map_arrow(docs, _leading(width, percent, sent), "token long, group long, doc_id long, times long")
+    met = map_arrow(dealt.repartition("token").sortWithinPartitions("token", "doc_id"), _sharing, "group long, doc_id long, times long")
+    return materialise(met.groupBy("group", "doc_id").agg(F.sum("times").alias("times")), "groups")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

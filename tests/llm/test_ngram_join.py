@@ -50,7 +50,7 @@ def test_large_group_in_many_blocks(spark):
 def test_blocks_report_a_spanning_forest():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 60, 40)).astype(np.uint64) for _ in range(80)]
-    links = link_block(list(range(80)), sets, 60)
+    links, stars = link_block(list(range(80)), sets, 60)
     full = {(i, j) for i in range(80) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))}
     assert set(links) <= full
 
@@ -61,7 +61,7 @@ def test_blocks_report_a_spanning_forest():
             p = [x if k == y else k for k in p]
         return [[p[i] == p[j] for j in range(80)] for i in range(80)]
 
-    assert parts(links) == parts(full) and len(links) == 80 - len({tuple(x) for x in parts(full)})
+    assert parts(links) == parts(full) == parts(stars) and len(links) == 80 - len({tuple(x) for x in parts(full)})
     assert PERCENT == 75
 
 
