@@ -380,12 +380,12 @@ def matching_results(spark, d):
     return id_lists(s1_ids(spark, d), decode.select_matches(scored(spark, d)), "matched_entity_ids")
 
 
-@query(f"WITH {sql.candidates()}, {SCORED} SELECT country, q_id, s1_id, round(logit + 0.5 * CASE WHEN abs(logit) < 3 THEN cos_name ELSE 0 END, 6) AS logit FROM scored")
+@query(f"WITH {sql.candidates()}, {SCORED} SELECT country, q_id, s1_id, round(logit + 0.5 * CASE WHEN abs(logit) < 3 THEN cos_name ELSE 0 END, 7) AS logit FROM scored")
 def fused_scores(spark, d):
     """A second score added where the first is unsure, 0 elsewhere."""
     s = scored(spark, d)
     ce = F.when(F.abs("logit") < CURRENT.ce_margin, F.col("cos_name"))
-    return rounded(s.select("country", "q_id", "s1_id", decode.fused(F.col("logit"), ce, 0.5).alias("logit")))
+    return s.select("country", "q_id", "s1_id", F.round(decode.fused(F.col("logit"), ce, 0.5), 7).alias("logit"))
 
 
 @query("SELECT doc_id, round((p1 + p2 + p3) / 3, 6) AS p FROM (SELECT doc_id, (doc_id % 7) / 7.0::DOUBLE AS p1, (doc_id % 5) / 5.0::DOUBLE AS p2, (doc_id % 3) / 3.0::DOUBLE AS p3 FROM documents)")
