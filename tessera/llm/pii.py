@@ -1,15 +1,16 @@
 """Personal data and the terms that give it away.
 
 Base spans (email, ip, card, phone) come from fixed patterns over whole texts, found in linear time. Information-
-theoretic sanitisation adds terms: for every entity (a base span's value), words within WINDOW words of a mention are
-counted over the distinct contexts of the whole corpus. With N documents, a term t discloses an entity e as far as it
+theoretic sanitisation adds terms: for every entity (a base span's value), words of any length within WINDOW words of a mention
+are counted over the distinct contexts of the whole corpus. Base spans part words and are none themselves. With N documents, a term t discloses an entity e as far as it
 lowers the information that e carries,
 
     disclosure(t, e) = log(P(e | t) / P(e)) / log(1 / P(e)),  P(e | t) = contexts of e with t / documents with t,
 
 which is 1 where t leaves no doubt. A term with enough contexts (SUPPORT) is removed from REMOVE on and generalised from
-GENERALISE on, where it stands near a mention of that entity. Counts cover all documents; what is shuffled are the
-words near mentions, and the document counts of those words (a fixed bitmap lets other words go at once).
+GENERALISE on, wherever it stands in any text, as it gives the entity away without a mention too. Counts cover all
+documents; what is shuffled are the words near mentions, the document counts of those words (a fixed bitmap lets
+other words go at once), and the places of disclosing terms.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Hasher, chunks, map_arrow, materialise, utf8, word_spans
+from tessera.llm.common import Hasher, chunks, fitting, map_arrow, materialise, text_batches, utf8, word_spans
 
 WINDOW, SUPPORT, REMOVE, GENERALISE = 8, 2, 0.95, 0.8
 BITS, HELD = 20, 500_000
+#: Marks that a join may broadcast (about 10 MB); above it the join is shuffled.
+MARKS = 200_000
 KINDS = ("email", "ip", "card", "phone")
 # Characters and patterns of the base kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,7 +36,6 @@ DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -98,81 +100,107 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def fold(word: str) -> str:
-    """A word as a term: without punctuation around it, lower-cased."""
-    return word.strip(".,;:!?\"'()[]{}<>|*#$%&").lower()
-
-
 def _term_hash(data: bytes) -> int:
     raw = np.frombuffer(data, np.uint8)
     return int(Hasher(raw)(np.array([0]), np.array([len(raw)])).view(np.int64)[0])
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW):
-    """For each base span: (entity, context, [(term, start, end)]) with the words near it that no base span touches."""
-    out = []
-    for kind, a, b in spans:
-        before = []
-        lo = a
-        # Words are sought outward from the span, so that a long text costs no more than its mentions.
-        while lo > 0 and len(before) < window:
-            hi = lo
-            while hi > 0 and text[hi - 1] in " \t\n\x0b\x0c\r":
-                hi -= 1
-            lo = hi
-            while lo > 0 and text[lo - 1] not in " \t\n\x0b\x0c\r" and hi - lo < 200:
-                lo -= 1
-            if hi > lo:
-                before.append((lo, hi))
-        after = []
-        for m in _WORD.finditer(text, b):
-            if len(after) == window:
-                break
-            after.append(m.span())
-        near = [(x, y) for x, y in [*before[::-1], *after] if y - x <= 200 and not any(x < e and y > s for _, s, e in spans)]
-        terms = [(term, x, y) for x, y in near if len(term := fold(text[x:y])) > 2]
-        value = re.sub(r"[^0-9]", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()
-        out.append((f"{kind}:{value}", " ".join(t for t, _, _ in terms), terms))
-    return out
+def _without_base(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[str, int, int]]]]:
+    """The bytes with spaces for base spans, and the base spans (kind, start, end in the document's bytes) of the documents
+    that have any. The patterns are ASCII, so that bytes read as Latin-1 give the same spans."""
+    out, spans = raw.copy(), {}
+    hints = np.flatnonzero((raw == 64) | (raw >= 48) & (raw <= 57))
+    for i in np.unique(np.searchsorted(at, hints, "right") - 1).tolist():
+        if found := base_spans(raw[at[i] : at[i + 1]].tobytes().decode("latin-1")):
+            spans[i] = found
+            for _, a, b in found:
+                out[at[i] + a : at[i] + b] = 32
+    return out, spans
+
+
+_EDGE = np.zeros(256, bool)
+_EDGE[[ord(c) for c in ".,;:!?\"'()[]{}<>|*#$%& \t\n\x0b\x0c\r"]] = True
+
+
+def _terms(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words that are more than punctuation, and the hashes of their terms: words without
+    punctuation around them, lower-cased (those with letters beyond ASCII one by one)."""
+    starts, ends, _ = word_spans(raw, at)
+    core = np.flatnonzero(~_EDGE[raw])
+    first, last = np.searchsorted(core, starts), np.searchsorted(core, ends)
+    fine = first < last
+    starts, ends = starts[fine], ends[fine]
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.int64)
+    a, b = core[first[fine]], core[last[fine] - 1] + 1
+    hashes = Hasher(raw, lower=True)(a, b)
+    wide = np.concatenate([[0], np.cumsum(raw >= 128)])
+    for i in np.flatnonzero(wide[b] > wide[a]).tolist():
+        word = raw[a[i] : b[i]].tobytes().decode("utf-8", "replace")
+        if (low := word.lower()) != word:
+            hashes[i] = np.uint64(_term_hash(low.encode("utf-8", "replace")) & (2**64 - 1))
+    return starts, ends, hashes.view(np.int64)
+
+
+def _points(raw: np.ndarray) -> np.ndarray:
+    """Code points before each byte."""
+    return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+
+
+def _key(raw: np.ndarray) -> bytes:
+    """What is equal for equal texts."""
+    return hashlib.blake2b(raw.tobytes(), digest_size=16).digest()
 
 
 def _find(window: int):
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                spans = base_spans(text) if text else []
-                near = [(e, c, t) for e, c, t in mentions(text, spans, window)] if spans else []
-                found = [{"entity": _hash(e), "context": _hash(c), "term": _hash_term(t), "start": x, "end": y} for e, c, ts in near for t, x, y in ts]
-                # A mention without words near it still counts as one of its entity.
-                found += [{"entity": _hash(e), "context": 0, "term": None, "start": -1, "end": -1} for e, _, _ in near]
-                rows.append((spans, found))
-            counts = [pa.array([sum(s[0] == k for s in spans) for spans, _ in rows], pa.int64()) for k in KINDS]
-            base = pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in spans) for spans, _ in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, base, pa.array([f for _, f in rows], kind)], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "near"])
+        kind = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64())]))
+        names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "key", "near"]
+        for ids, raw, at in text_batches(batches, "doc_id", "text"):
+            blank, spans = _without_base(raw, at)
+            counts = [pa.array([sum(s[0] == k for s in spans.get(i, ())) for i in range(len(ids))], pa.int64()) for k in KINDS]
+            keys = [_key(raw[at[i] : at[i + 1]]) for i in range(len(ids))]
+            base, near = [""] * len(ids), [[] for _ in range(len(ids))]
+            for i, own in spans.items():
+                text, points = raw[at[i] : at[i + 1]], _points(raw[at[i] : at[i + 1]])
+                base[i] = ",".join(f"{k}:{points[a]}:{points[b]}" for k, a, b in own)
+                starts, _, hashes = _terms(blank[at[i] : at[i + 1]], np.array([0, len(text)]))
+                found = set()
+                for k, a, b in own:
+                    value = text[a:b].tobytes().decode("ascii")
+                    entity = _hash(f"{k}:" + (re.sub(r"[^0-9]", "", value) if k in ("card", "phone") else value.lower()))
+                    # No word reaches into a base span, so that a place in the order of words parts those before and after.
+                    place = int(np.searchsorted(starts, b))
+                    terms = hashes[max(0, place - window) : place + window]
+                    context = int.from_bytes(hashlib.blake2b(terms.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    # A mention without words near it still counts as one of its entity.
+                    found |= {(entity, 0, None), *((entity, context, t) for t in terms.tolist())}
+                near[i] = [{"entity": e, "context": c, "term": t} for e, c, t in found]
+            yield pa.RecordBatch.from_arrays([ids, *counts, pa.array(base, pa.string()), pa.array(keys, pa.binary()), pa.array(near, kind)], names)
 
     return run
 
 
-def _hash_term(term: str) -> int:
-    return _term_hash(term.encode("utf-8", "replace"))
-
-
-_EDGE = np.zeros(256, bool)
-_EDGE[[ord(c) for c in ".,;:!?\"'()[]{}<>|*#$%&"]] = True
+def _passing(batches, bits: np.ndarray):
+    """(bytes, offsets, documents, starts, ends, terms) of the words outside base spans whose term's bit is set."""
+    for batch in batches:
+        raw, at = utf8(batch.column(0))
+        for _, _, part, offsets in chunks(raw, at):
+            starts, ends, terms = _terms(_without_base(part, offsets)[0], offsets)
+            keep = np.flatnonzero(bits[(terms.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)])
+            if len(keep):
+                yield part, offsets, np.searchsorted(offsets, starts[keep], "right") - 1, starts[keep], ends[keep], terms[keep]
 
 
 def _documents_with(bitmap):
     """(term, documents) of the terms whose bit is set, counted over a task's documents (told and begun anew whenever
-    HELD terms are counted). Terms are folded as by fold(); a word with letters beyond ASCII is folded one by one."""
+    HELD terms are counted)."""
 
     def run(batches):
         import pyarrow as pa
 
-        bits = bitmap.value
         held: dict[int, int] = {}
 
         def told():
@@ -180,48 +208,50 @@ def _documents_with(bitmap):
             held.clear()
             return out
 
-        for batch in batches:
-            raw, at = utf8(batch.column(0))
-            for _, _, part, offsets in chunks(raw, at):
-                starts, ends, _ = word_spans(part, offsets)
-                while len(starts) and (cut := (starts < ends) & _EDGE[part[np.minimum(starts, len(part) - 1)]]).any():
-                    starts = starts + cut
-                while len(starts) and (cut := (starts < ends) & _EDGE[part[np.maximum(ends - 1, 0)]]).any():
-                    ends = ends - cut
-                fine = ends > starts
-                starts, ends = starts[fine], ends[fine]
-                if not len(starts):
-                    continue
-                hashes = Hasher(part, lower=True)(starts, ends)
-                wide = np.concatenate([[0], np.cumsum(part >= 128)])
-                for i in np.flatnonzero(wide[ends] > wide[starts]).tolist():
-                    plain = part[starts[i] : ends[i]].tobytes()
-                    word = plain.decode("utf-8", "replace")
-                    if (low := word.lower()) != word:
-                        hashes[i] = np.uint64(_term_hash(low.encode("utf-8", "replace")) & (2**64 - 1))
-                doc = np.searchsorted(offsets, starts, "right") - 1
-                keep = np.flatnonzero(bits[(hashes >> np.uint64(64 - BITS)).astype(np.int64)])
-                order = np.lexsort((hashes[keep], doc[keep]))
-                h, d = hashes[keep][order], doc[keep][order]
-                if len(h):
-                    once = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-                    terms, times = np.unique(h[once], return_counts=True)
-                    for term, k in zip(terms.view(np.int64).tolist(), times.tolist(), strict=True):
-                        held[term] = held.get(term, 0) + k
-                if len(held) >= HELD:
-                    yield told()
+        for _, _, doc, _, _, terms in _passing(batches, bitmap.value):
+            order = np.lexsort((terms, doc))
+            h, d = terms[order], doc[order]
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+            for term, k in zip(*(x.tolist() for x in np.unique(h[once], return_counts=True)), strict=True):
+                held[term] = held.get(term, 0) + k
+            if len(held) >= HELD:
+                yield told()
         if held:
             yield told()
 
     return run
 
 
+def _occurrences(bitmap):
+    """(key, term, start, end) of every word outside base spans whose term's bit is set, in code points."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part, offsets, doc, starts, ends, terms in _passing(batches, bitmap.value):
+            points = _points(part)
+            begin = points[offsets[doc]]
+            own = {i: _key(part[offsets[i] : offsets[i + 1]]) for i in np.unique(doc).tolist()}
+            keys = pa.array([own[i] for i in doc.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(terms), pa.array(points[starts] - begin), pa.array(points[ends] - begin)], ["key", "term", "start", "end"])
+
+    return run
+
+
+def _bitmap(terms: DataFrame):
+    """The bits of terms, broadcast, or None without terms: at most 2^BITS come to the driver, however many terms there are."""
+    set_bits = terms.select(F.shiftrightunsigned("term", 64 - BITS).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+    bits = np.zeros(1 << BITS, bool)
+    bits[set_bits] = True
+    return terms.sparkSession.sparkContext.broadcast(bits) if len(set_bits) else None
+
+
 def find(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base (spans kind:start:end, comma-
-    joined), terms (array of start, end, action: spans near a mention that disclose it, removed or generalised). Null
+    joined), terms (array of start, end, action: every word outside base spans, in any text, whose term discloses an entity,
+    removed or generalised). Null
     and empty texts have no spans; repeated rows are rows of their own but their contexts count once."""
-    spark = docs.sparkSession
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:long,context:long,term:long,start:long,end:long>>"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, key binary, near array<struct<entity:long,context:long,term:long>>"
     found = materialise(map_arrow(docs.select("doc_id", "text"), _find(window), schema).withColumn("uid", F.monotonically_increasing_id()), "personal")
     total = max(1, found.count())
     near = found.where(F.size("near") > 0).select("uid", F.inline("near"))
@@ -234,19 +264,22 @@ def find(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remove:
     strength = F.when(rarity > 0, 1 + F.log(given) / rarity).otherwise(0.0)
     pairs = pairs.where(F.col("contexts") >= support).join(nearby, "term").join(entities, "entity").where(strength >= generalise)
     pairs = materialise(pairs.select("entity", "term", "contexts", "of_entity"), "pairs")
-    # At most 2^BITS bits come to the driver, however many terms there are.
-    set_bits = pairs.select(F.shiftrightunsigned("term", 64 - BITS).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-    bits = np.zeros(1 << BITS, bool)
-    bits[set_bits] = True
-    if len(set_bits):
-        counted = map_arrow(docs.select("text"), _documents_with(spark.sparkContext.broadcast(bits)), "term long, documents long")
+    marks = None
+    if bitmap := _bitmap(pairs):
+        counted = map_arrow(docs.select("text"), _documents_with(bitmap), "term long, documents long")
         documents = counted.groupBy("term").agg(F.sum("documents").alias("documents"))
-        strong = pairs.join(documents, "term").withColumn("strength", strength).where(F.col("strength") >= generalise)
-        strong = materialise(strong.select("entity", "term", "strength"), "disclosing")
-        told = near.where("term is not null").join(strong, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("strength").alias("strength"))
-        action = F.when(F.col("strength") >= remove, "remove").otherwise("generalise").alias("action")
-        terms = told.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", action))).alias("terms"))
-        found = found.join(terms, "uid", "left")
+        strong = pairs.join(documents, "term").groupBy("term").agg(F.max(strength).alias("strength")).where(F.col("strength") >= generalise)
+        strong = materialise(strong, "disclosing")
+        if bitmap := _bitmap(strong):
+            # One more pass marks the terms wherever they stand, in all texts.
+            seen = map_arrow(docs.select("text"), _occurrences(bitmap), "key binary, term long, start long, end long")
+            action = F.when(F.col("strength") >= remove, "remove").otherwise("generalise").alias("action")
+            marks = materialise(seen.join(fitting(strong), "term").select("key", "start", "end", action).distinct(), "marks")
+    if marks is not None:
+        # Texts alone decide on marks, so that rows of equal texts share theirs.
+        terms = marks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+        small = marks.limit(MARKS + 1).count() <= MARKS
+        found = found.join(F.broadcast(terms) if small else terms.hint("shuffle_merge"), "key", "left")
     else:
         found = found.withColumn("terms", F.lit(None).cast("array<struct<start:long,end:long,action:string>>"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("terms"))

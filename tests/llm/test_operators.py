@@ -306,3 +306,17 @@ def test_disclosing_terms(spark):
         assert "jane" not in (clean := pii.sanitise(text, got[300 + i].base, [(t.start, t.end, t.action) for t in got[300 + i].terms])) and "Zyxomma" not in clean
     assert not any(got[i].terms for i in range(200)) and got[402].n_email == 1 and not got[400].terms
     assert pii.find(frame(spark, [])).count() == 0
+
+
+def test_disclosing_terms_are_marked_everywhere(spark):
+    r = random.Random(4)
+    words = ["apple", "stone", "river", "lamp", "green", "walk", "seven", "cloud"]
+    long = "Q" * 300
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, some(30)) for i in range(200)]
+    rows += [(300 + i, f"{some(3 + i)} Zyxomma x7 {long} joe@mail.example.com {some(4)}") for i in range(6)]
+    rows += [(400, f"É {some(20)} zyxomma, {some(20)}"), (401, f"{rows[200][1]} {some(20)} (x7)"), (402, f"{some(2)} {long}")]
+    got = {x.doc_id: [(t.start, t.end) for t in x.terms] for x in pii.find(frame(spark, rows)).collect()}
+    for d, text in rows:
+        assert got[d] == [m.span() for m in re.finditer(r"\S+", text) if m.group().strip(",()").lower() in ("zyxomma", "x7", long.lower())], d
+    assert sum(map(len, got.values())) == 18 + 1 + 4 + 1
