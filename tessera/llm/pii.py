@@ -1,16 +1,16 @@
 """Personal data and the terms that give it away.
 
 Base spans (email, ip, card, phone) come from fixed patterns over whole texts, found in linear time. Information-
-theoretic sanitisation adds terms: for every entity (a base span's value), words of any length within WINDOW words of a mention
-are counted over the distinct contexts of the whole corpus. Base spans part words and are none themselves. With N documents, a term t discloses an entity e as far as it
-lowers the information that e carries,
+theoretic sanitisation adds terms: for every entity (a base span's value), words of any length within WINDOW words of
+a mention are counted over the distinct texts of the whole corpus, so that copies count once. Base spans part words and
+are none themselves. With N texts, a term t discloses an entity e as far as it lowers the information that e carries,
 
-    disclosure(t, e) = log(P(e | t) / P(e)) / log(1 / P(e)),  P(e | t) = contexts of e with t / documents with t,
+    disclosure(t, e) = log(P(e | t) / P(e)) / log(1 / P(e)),  P(e | t) = texts with t near e / texts with t,
 
-which is 1 where t leaves no doubt. A term with enough contexts (SUPPORT) is removed from REMOVE on and generalised from
-GENERALISE on, wherever it stands in any text, as it gives the entity away without a mention too. Counts cover all
-documents; what is shuffled are the words near mentions, the document counts of those words (a fixed bitmap lets
-other words go at once), and the places of disclosing terms.
+which is 1 where t leaves no doubt. A term in enough distinct contexts (SUPPORT) is removed from REMOVE on
+and generalised from GENERALISE on, wherever it stands in any text, as it gives the entity away without a mention too.
+Counts cover all documents; what is shuffled are the words near mentions, the texts with those words (a fixed bitmap
+lets other words go at once), and the places of disclosing terms.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Hasher, chunks, fitting, map_arrow, materialise, text_batches, utf8, word_spans
 
 WINDOW, SUPPORT, REMOVE, GENERALISE = 8, 2, 0.95, 0.8
-BITS, HELD = 20, 500_000
+BITS = 20
 #: Marks that a join may broadcast (about 10 MB); above it the join is shuffled.
 MARKS = 200_000
 KINDS = ("email", "ip", "card", "phone")
@@ -195,29 +195,17 @@ def _passing(batches, bits: np.ndarray):
 
 
 def _documents_with(bitmap):
-    """(term, documents) of the terms whose bit is set, counted over a task's documents (told and begun anew whenever
-    HELD terms are counted)."""
+    """(key, term) of the terms whose bit is set, once a text and batch."""
 
     def run(batches):
         import pyarrow as pa
 
-        held: dict[int, int] = {}
-
-        def told():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "documents"])
-            held.clear()
-            return out
-
-        for _, _, doc, _, _, terms in _passing(batches, bitmap.value):
+        for part, offsets, doc, _, _, terms in _passing(batches, bitmap.value):
             order = np.lexsort((terms, doc))
             h, d = terms[order], doc[order]
             once = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-            for term, k in zip(*(x.tolist() for x in np.unique(h[once], return_counts=True)), strict=True):
-                held[term] = held.get(term, 0) + k
-            if len(held) >= HELD:
-                yield told()
-        if held:
-            yield told()
+            own = {i: _key(part[offsets[i] : offsets[i + 1]]) for i in np.unique(d).tolist()}
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in d[once].tolist()], pa.binary()), pa.array(h[once])], ["key", "term"])
 
     return run
 
@@ -250,24 +238,26 @@ def find(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remove:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base (spans kind:start:end, comma-
     joined), terms (array of start, end, action: every word outside base spans, in any text, whose term discloses an entity,
     removed or generalised). Null
-    and empty texts have no spans; repeated rows are rows of their own but their contexts count once."""
+    and empty texts have no spans; repeated rows are rows of their own, but equal texts count once in all statistics."""
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, key binary, near array<struct<entity:long,context:long,term:long>>"
-    found = materialise(map_arrow(docs.select("doc_id", "text"), _find(window), schema).withColumn("uid", F.monotonically_increasing_id()), "personal")
-    total = max(1, found.count())
-    near = found.where(F.size("near") > 0).select("uid", F.inline("near"))
-    entities = near.where("term is null").groupBy("entity").agg(F.count_distinct("uid").alias("of_entity"))
-    pairs = near.where("term is not null").select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
+    found = materialise(map_arrow(docs.select("doc_id", "text"), _find(window), schema), "personal")
+    # All counts are of distinct texts: copies are no evidence for a term, and none against it.
+    total = max(1, found.select("key").distinct().count())
+    near = materialise(found.where(F.size("near") > 0).dropDuplicates(["key"]).select("key", F.inline("near")), "near")
+    entities = near.where("term is null").groupBy("entity").agg(F.count("*").alias("of_entity"))
+    pairs = near.where("term is not null").groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("texts"))
     # A term's documents are at least those that have it near a mention, so that most pairs can't be strong.
-    nearby = near.where("term is not null").groupBy("term").agg(F.count_distinct("uid").alias("documents"))
+    nearby = near.where("term is not null").groupBy("term").agg(F.count_distinct("key").alias("documents"))
     rarity = F.log(F.lit(float(total)) / F.col("of_entity"))
-    given = F.least(F.lit(1.0), F.col("contexts") / F.col("documents"))
+    given = F.col("texts") / F.col("documents")
     strength = F.when(rarity > 0, 1 + F.log(given) / rarity).otherwise(0.0)
     pairs = pairs.where(F.col("contexts") >= support).join(nearby, "term").join(entities, "entity").where(strength >= generalise)
-    pairs = materialise(pairs.select("entity", "term", "contexts", "of_entity"), "pairs")
+    pairs = materialise(pairs.select("entity", "term", "texts", "of_entity"), "pairs")
     marks = None
     if bitmap := _bitmap(pairs):
-        counted = map_arrow(docs.select("text"), _documents_with(bitmap), "term long, documents long")
-        documents = counted.groupBy("term").agg(F.sum("documents").alias("documents"))
+        wanted = materialise(pairs.select("term").distinct(), "terms")
+        counted = map_arrow(docs.select("text"), _documents_with(bitmap), "key binary, term long").join(fitting(wanted), "term", "left_semi")
+        documents = counted.distinct().groupBy("term").agg(F.count("*").alias("documents"))
         strong = pairs.join(documents, "term").groupBy("term").agg(F.max(strength).alias("strength")).where(F.col("strength") >= generalise)
         strong = materialise(strong, "disclosing")
         if bitmap := _bitmap(strong):

@@ -320,3 +320,15 @@ def test_disclosing_terms_are_marked_everywhere(spark):
     for d, text in rows:
         assert got[d] == [m.span() for m in re.finditer(r"\S+", text) if m.group().strip(",()").lower() in ("zyxomma", "x7", long.lower())], d
     assert sum(map(len, got.values())) == 18 + 1 + 4 + 1
+
+
+def test_copies_hide_no_disclosing_terms(spark):
+    r = random.Random(5)
+    words = ["apple", "stone", "river", "lamp", "green", "walk", "seven", "cloud"]
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, some(30)) for i in range(200)]
+    rows += [(1000 + 100 * i + j, text) for i, text in enumerate([f"{some(4 + i)} Zyxomma joe@mail.example.com {some(4)}" for i in range(2)]) for j in range(50)]
+    rows += [(2000 + j, f"Quillon ann@mail.example.com {rows[0][1]}") for j in range(50)]
+    texts = dict(rows)
+    got = {x.doc_id: [(t.action, texts[x.doc_id][t.start : t.end]) for t in x.terms] for x in pii.find(frame(spark, rows)).collect()}
+    assert all(got[d] == ([("remove", "Zyxomma")] if 1000 <= d < 2000 else []) for d, _ in rows)
