@@ -100,15 +100,15 @@ def _lists(queries, bounds, k: int, m: int):
 
 def _best(df: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return df.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, slices: int = SLICES, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest scores of each query, ties to the smaller vec_id; fewer if
     there are fewer candidates. vectors: vec_id, embedding. Vectors that are null or hold a null or non-finite
     component, and rows without an id, take no part; scores are between vectors of equal length; rows that repeat a
-    vec_id count as one candidate if they score alike (their best score counts), and none is a candidate of its own
-    id. An empty table gives an empty result."""
+    vec_id are candidates (and queries) of their own, as in the SQL, and none is a candidate of its own id. An empty
+    table gives an empty result."""
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
     asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)

@@ -179,6 +179,19 @@ def test_top_k_is_brute_force(spark, block):
     assert vector_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, score int")).count() == 0
 
 
+def test_top_k_of_repeated_rows_is_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    r = np.random.default_rng(3)
+    rows = [(1, [1.0, 1.0])] * 5 + [(i, [1 - i / 16, 0.5]) for i in range(2, 6)] + [(0, [1.0, 0.5])] + [(50, [0.5, -1.0])] * 2
+    rows += [(int(i), [float(x) for x in np.round(r.normal(0, 0.3, 2), 2)]) for i in r.integers(60, 80, 40)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings/*.parquet')")
+    got = sorted(tuple(x) for x in vector_search.top_k(df).collect())
+    assert got == sorted(con.execute(vector_search.ORACLE).fetchall())
+
+
 # --- classifiers
 
 
