@@ -15,7 +15,8 @@ shingles last, so that two sets that link must share k shingles among the first
 4. Groups of more than one block also put a few anchors into each. Where their documents aren't one component
    after that, the outliers meet every block of the group, so that no link is lost.
 
-Links are reported as a spanning forest: pairs known to be connected aren't compared again.
+These links are a spanning forest: pairs known to be connected aren't compared again. Where numbers of links are asked
+for, every pair of blocks of a group meets once more, and every pair of sets is counted in the first group they share.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WIDTH, PERCENT = 5, 75
 WINDOW, FREQUENT = 1 << 22, 1 << 19
 #: Documents and shingles of a block, and documents that all blocks of a group share.
 BLOCK, BLOCK_SHINGLES, ANCHORS = 512, 1 << 21, 8
+#: Elements of so many sets are counted by pairs of sets, others as products of so many columns.
+RARE, COLUMNS = 8, 4096
 #: Sets that link share at least n / EXTRA leading shingles, as so many more than needed for one are taken.
 EXTRA = 10
 _TURN = [np.uint64(x) for x in np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
@@ -350,10 +353,105 @@ def _links_of(docs: DataFrame, dealt: DataFrame, width: int, percent: int, name:
     return materialise(map_arrow(rows, _link(percent), "a long, b long, star boolean"), name)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, window: int = WINDOW, frequent: int = FREQUENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of each two sets: rare elements by their pairs of sets, the others as products."""
+    n = len(sets)
+    tokens, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    code = code.reshape(-1)
+    order = np.argsort(code, kind="stable")
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])[order]
+    first = np.cumsum(times) - times
+    out = np.zeros(n * n, np.int64)
+    for c in range(2, RARE + 1):
+        at = first[times == c]
+        if len(at):
+            own = owner[at[:, None] + np.arange(c)]
+            i, j = np.triu_indices(c, 1)
+            out += np.bincount((own[:, i] * n + own[:, j]).reshape(-1), minlength=n * n)
+    out = out.reshape(n, n)
+    out += out.T
+    often = np.flatnonzero(times > RARE)
+    for lo in range(0, len(often), COLUMNS):
+        part = often[lo : lo + COLUMNS]
+        has = np.zeros((n, len(part)), np.float32)
+        where = np.concatenate([np.arange(first[t], first[t] + times[t]) for t in part])
+        has[owner[where], np.repeat(np.arange(len(part)), times[part])] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def count_links(ids: list[int], sets: list[np.ndarray], sides: list[int], lower: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, links) of a cell: with how many of the other ids each links. Where there are two sides, pairs are of one from
+    each; those that share a group of lower are counted there. An id that repeats links by any of its sets."""
+    size, side = np.array([len(s) for s in sets]), np.array(sides)
+    linked = (100 + percent) * _overlaps(sets) >= percent * (size[:, None] + size[None, :])
+    if len(set(sides)) > 1:
+        linked &= side[:, None] != side[None, :]
+    if any(len(x) for x in lower):
+        linked &= _overlaps(lower) == 0
+    names, row = np.unique(np.array(ids, np.int64), return_inverse=True)
+    if len(names) < len(ids):
+        i, j = np.nonzero(linked)
+        linked = np.zeros((len(names), len(names)), bool)
+        linked[row[i], row[j]] = True
+    else:
+        linked = linked[np.argsort(ids)][:, np.argsort(ids)]
+    np.fill_diagonal(linked, False)
+    return names, linked.sum(axis=1)
+
+
+def _count(percent: int):
+    """Rows sorted by cell (group, x, y): rep, side, lower groups, shingles after the three columns."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        cell, held = None, []
+
+        def told():
+            ids, sides, lower, sets = zip(*held, strict=True)
+            # A cell off the diagonal has pairs only if both of its sides do.
+            if len(held) > 1 and (cell[1] == cell[2] or len(set(sides)) > 1):
+                names, links = count_links(list(ids), list(sets), list(sides), list(lower), percent)
+                fine = links > 0
+                if fine.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(names[fine]), pa.array(links[fine].astype(np.int64))], ["rep", "links"])
+
+        for batch in batches:
+            raw, at = utf8(batch.column(6))
+            for i, (*key, rep, side, lower) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+                if key != cell:
+                    if held:
+                        yield from told()
+                    cell, held = key, []
+                held.append((rep, side, np.array(lower, np.int64), np.frombuffer(raw[at[i] : at[i + 1]].tobytes(), np.uint64)))
+        if held:
+            yield from told()
+
+    return run
+
+
+def _link_counts(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep, n_links) of the classes that link: every two blocks of a group of members meet in one cell."""
+    lists = members.groupBy("rep").agg(F.collect_list("group").alias("groups"))
+    side = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
+    rows = members.select("group", "rep", "blocks", side.alias("side")).join(lists, "rep")
+    rows = rows.withColumn("lower", F.filter("groups", lambda g: g < F.col("group"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("group", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "rep", "side", "lower")
+    dealt = materialise(rows, "cells")
+    reps = materialise(members.select("rep").distinct(), "reps")
+    sets = map_arrow(semi_by_id(docs, "doc_id", reps), _sets(width), "rep long, shingles binary")
+    cells = sets.where(F.length("shingles") > 0).join(fitting(dealt), "rep").select("group", "x", "y", "rep", "side", "lower", "shingles")
+    cells = cells.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "rep")
+    counted = map_arrow(cells, _count(percent), "rep long, links long")
+    return materialise(counted.groupBy("rep").agg(F.sum("links").alias("n_links")), "link-counts")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, window: int = WINDOW, frequent: int = FREQUENT, block: int = BLOCK, counts: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, links) of docs (doc_id, text). documents: one row per row of docs with doc_id, n_shingles,
     class_id (smallest doc_id of an equal set) and component_id (smallest doc_id reachable by links); links: pairs (a, b)
-    of class ids that form a spanning forest of the components. Two documents link when their sets' Jaccard
+    of class ids that form a spanning forest of the components. counts: documents also have n_links, the exact number of
+    other classes that theirs links with. Two documents link when their sets' Jaccard
     similarity is at least `percent` of 100. Null and empty texts, and texts without words, have an empty set and
     link with nothing; rows without a doc_id link with nothing and have no ids; rows that repeat a doc_id are one
     document, linked by any of its texts. An empty table gives empty results."""
@@ -417,10 +515,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
             if not more.isEmpty():
                 hung = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
                 known = components(hung.unionByName(more.drop("star")))
-    reached = classes.join(known, F.col("rep") == F.col("id"), "left").select("n", "fp1", "fp2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    counted = ["n_links"] if counts else []
+    if counts:
+        classes = classes.join(_link_counts(docs, members, width, percent), "rep", "left")
+    reached = classes.join(known, F.col("rep") == F.col("id"), "left").select("n", "fp1", "fp2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), *counted)
     out = sizes.join(reached, ["n", "fp1", "fp2"], "left")
     named_id = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), named_id("class_id"), named_id("component_id")), links
+    return out.select("doc_id", F.col("n").alias("n_shingles"), named_id("class_id"), named_id("component_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in counted)), links
 
 
 def materialise_leading(docs: DataFrame, width: int, percent: int, sent) -> DataFrame:
@@ -439,4 +540,4 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), counts=True)[0]

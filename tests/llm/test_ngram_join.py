@@ -74,3 +74,23 @@ def test_edges(spark):
     out = sorted((r.doc_id is not None, r.doc_id or 0, r.component_id) for r in near_duplicates(df)[0].collect())
     assert out == [(False, 0, None), (True, 2, 2), (True, 4, 2), (True, 5, 5), (True, 7, 5), (True, 9, 9), (True, 9, 9)]
     assert sorted(r.component_id for r in keep_one(df).collect()) == ["b", "c", "d", "d", "e"]
+
+
+@pytest.mark.parametrize("how", [{"window": 300, "block": 4}, {"percent": 50, "width": 3}])
+def test_counts_every_link(spark, how):
+    from brute import shingles
+
+    r = random.Random(6)
+    base = [f"x{i}" for i in range(50)]
+    rows = [(1000 + i, t) for i, t in enumerate(texts(7, 80))]
+    for i in range(60):
+        b = list(base)
+        for _ in range(i % 5):
+            b[r.randrange(50)] = f"y{r.randrange(10**6)}"
+        rows.append((i, " ".join(b)))
+    percent, width = how.get("percent", 75), how.get("width", 5)
+    sets = {d: frozenset(shingles(t, width)) for d, t in rows}
+    distinct = {s for s in sets.values() if s}
+    links = {s: sum(s != o and 100 * len(s & o) >= percent * len(s | o) for o in distinct) for s in distinct}
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), counts=True, **how)[0].collect()
+    assert {x.doc_id: x.n_links for x in out} == {d: links.get(s, 0) for d, s in sets.items()}
