@@ -70,23 +70,39 @@ def monoid():
     return table, np.array([functions[g] for g in generators], np.uint8), compose, begins
 
 
+# Letters and digits of Unicode 16.0 (the version of the pattern's definition) that tables of 15.1 lack.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_DIGITS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+# Codepoints of Unicode's White_Space property.
+WHITE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+
+
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """The class of every codepoint: letters (L*), numbers (N*), white space, others."""
-    out = np.full(0x110000, OTHER, np.uint8)
-    for cp in range(0x110000):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind in "LN":
-            out[cp] = LETTER if kind == "L" else NUMBER
-    # Codepoints of Unicode's White_Space property.
-    white = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-    out[white] = SPACE
+    kinds = {"L": LETTER, "N": NUMBER}
+    out = np.array([kinds.get(unicodedata.category(chr(cp))[0], OTHER) for cp in range(0x110000)], np.uint8)
+    for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_DIGITS), (SPACE, WHITE)):
+        for low, high in ranges:
+            out[low : high + 1] = kind
     return out
 
 
-def symbols(cps: np.ndarray, first: np.ndarray) -> np.ndarray:
+def class_runs() -> tuple[np.ndarray, np.ndarray]:
+    """classes() as runs (where each begins, its class): made by the driver and sent with each task, so that all
+    executors agree whatever their Python."""
+    kinds = classes()
+    begin = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1])
+    return begin, kinds[begin]
+
+
+def symbols(cps: np.ndarray, first: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
     """Symbols 0-15 of the codepoints of documents that begin at `first`."""
-    kind = classes()[cps]
+    kind = (classes() if kinds is None else kinds)[cps]
     n = len(kind)
     starts = np.zeros(n + 1, bool)
     starts[first] = True
@@ -141,7 +157,7 @@ class Vocabulary:
 
     def __init__(self, lines: bytes, cache: int = 200_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line)}
-        self.limit = cache
+        self.limit, self.kinds = cache, None  # the classes of codepoints, once the driver's are there
         size = max(self.ranks.values()) + 1
         self.token = [b""] * size
         for k, v in self.ranks.items():
@@ -189,7 +205,7 @@ class Vocabulary:
         cps = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero((raw & 0xC0) != 0x80)  # the byte at which each codepoint starts
         first = np.searchsorted(lead, at[:-1][at[:-1] < at[1:]])
-        starts = lead[boundaries(symbols(cps, first))] if len(cps) else np.zeros(0, np.int64)
+        starts = lead[boundaries(symbols(cps, first, self.kinds))] if len(cps) else np.zeros(0, np.int64)
         if len(self.piece) > self.limit:
             self.clear()
         piece = self.piece
@@ -242,10 +258,14 @@ def default_path() -> str:
 
 
 def _encode(path: str, digest: bool):
+    begin, kinds = class_runs()
+
     def run(batches):
         import pyarrow as pa
 
         vocab = vocabulary(path)
+        if vocab.kinds is None:
+            vocab.kinds = np.repeat(kinds, np.diff(np.concatenate([begin, [0x110000]])))
         for batch in batches:
             raw, at = utf8(batch.column(1))
             for lo, hi, part, offsets in chunks(raw, at):
@@ -277,7 +297,8 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids: the tokens of each whole text of docs (doc_id, text). Null and empty texts have none; repeated rows
-    give repeated results; special tokens aren't recognised. path: a vocabulary file that every executor has."""
+    give repeated results; special tokens aren't recognised; other columns of docs, whatever their names, are left out;
+    an empty table gives an empty result. path: a vocabulary file that every executor has."""
     return map_arrow(docs.select("doc_id", "text"), _encode(path or default_path(), False), "doc_id long, ids array<int>")
 
 

@@ -47,34 +47,38 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs
     """One row per row of docs (doc_id, text, source): doc_id, size (words), source_size, target, taken (words the mix
     takes, repeats counted). Sources sorted by code point, null last, get the weights in turn. Null texts have no
     words; documents of equal id and repeated rows are taken one by one; no document is taken more than `epochs`
-    times; sources without words have target 0; an empty table gives an empty result. Reruns agree."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key")).withColumn("uid", F.monotonically_increasing_id()), "sizes")
+    times; sources without words have target 0; an empty table gives an empty result. Sources of equal cap a weight go by
+    code point. Extra columns, whatever their names, are left out. Reruns agree, however the rows are partitioned."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # Rows without a doc_id spread by their texts. Rows equal in id, size and text hash are interchangeable.
+    named = F.when(F.col("doc_id").isNull(), F.md5(text.cast("binary"))).otherwise(F.col("doc_id").cast("string"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), named).cast("binary"))
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64(text).alias("text_hash"))
+    sized = materialise(sized, "sizes")
     bucket = F.conv(F.substring("key", 1, DIGITS), 16, 10).cast("int")
     by_bucket = materialise(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size")), "buckets")
     turn = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     nth = F.pmod(F.row_number().over(turn) - 1, F.lit(len(weights)))
     weight = F.get(F.array(*map(F.lit, weights)), nth)
     sizes = by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")).withColumn("weight", weight)
-    aim = materialise(targets(sizes, share, epochs), "targets")
+    aim = materialise(targets(sizes, share, epochs), "targets").withColumnRenamed("source", "__source")
     # What is left of the target after whole repetitions is taken in hash order: whole buckets, then documents of one.
+    # One row a source says how: how often all of it, the bucket that is cut, and what is left for that.
+    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
     reached = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.round("target").cast("long") - F.col("whole") * F.col("source_size")
-    plan = (
-        by_bucket.withColumn("reached", F.coalesce(F.sum("bucket_size").over(reached), F.lit(0)))
-        .join(F.broadcast(aim.withColumnRenamed("source", "__source")) if aim.count() <= 10_000 else aim.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("left", rest - F.col("reached"))
-        .select(F.col("source").alias("__source"), "bucket", "source_size", "target", "whole", "left", "bucket_size")
-    )
+    walked = by_bucket.withColumn("reached", F.coalesce(F.sum("bucket_size").over(reached), F.lit(0)))
+    walked = walked.join(fitting(aim), F.col("source").eqNullSafe(F.col("__source")))
+    walked = walked.withColumn("whole", whole).withColumn("left", F.round("target").cast("long") - F.col("whole") * F.col("source_size") - F.col("reached"))
+    cut = F.when((F.col("left") > 0) & (F.col("left") < F.col("bucket_size")), F.struct("bucket", "left"))
+    full = F.max(F.when(F.col("left") >= F.col("bucket_size"), F.col("bucket")))
+    plan = walked.groupBy("__source").agg(*(F.first(c).alias(c) for c in ("source_size", "target", "whole")), full.alias("__full"), F.max(cut).alias("__cut"))
     plan = materialise(plan, "plan")
-    plan = fitting(plan.withColumnRenamed("bucket", "__bucket"))
-    dealt = sized.withColumn("bucket", bucket).join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("__bucket")))
-    split = (F.col("left") > 0) & (F.col("left") < F.col("bucket_size"))
-    even = dealt.where(~split).withColumn("extra", F.when(F.col("left") > 0, F.col("size")).otherwise(F.lit(0)))
-    walk = Window.partitionBy("__source", "bucket").orderBy("key", "doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    cut = dealt.where(split).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.coalesce(F.sum("size").over(walk), F.lit(0)))))
-    return even.unionByName(cut).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+    dealt = sized.withColumn("__bucket", bucket).join(fitting(plan), F.col("source").eqNullSafe(F.col("__source")))
+    split = F.coalesce(F.col("__bucket") == F.col("__cut.bucket"), F.lit(False))
+    even = dealt.where(~split).withColumn("extra", F.when(F.col("__bucket") <= F.col("__full"), F.col("size")).otherwise(F.lit(0)))
+    walk = Window.partitionBy("__source").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    last = dealt.where(split).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__cut.left") - F.coalesce(F.sum("size").over(walk), F.lit(0)))))
+    return even.unionByName(last).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -83,7 +87,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+                  md5('{SEED}:' || CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) ELSE CAST(doc_id AS VARCHAR) END) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight FROM d GROUP BY source),
 r AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
@@ -102,8 +106,11 @@ SELECT doc_id, size, source_size, target,
 def repeat_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: each row as often as its whole repetitions, a part of one counting from one half.
     All columns stay; documents without words and rows without a doc_id, which weigh nothing or can't be named, stay once."""
-    mixed = mix_documents(docs, **how).where("doc_id is not null").groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    mixed = mix_documents(docs.select("doc_id", "text", "source"), **how).where("doc_id is not null").groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     times = mixed.select(F.col("doc_id").alias("__doc_id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("__times"))
     times = materialise(times, "times")
-    joined = docs.join(fitting(times, 1_000_000), F.col("doc_id") == F.col("__doc_id"), "left")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("__times", F.lit(1))))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row travels as one struct, so that its columns can't clash with the counts'.
+    rows = docs.select(F.col("doc_id").alias("__of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    joined = rows.join(fitting(times, 1_000_000), F.col("__of") == F.col("__doc_id"), "left")
+    repeated = joined.select("__row", F.explode(F.array_repeat(F.lit(0), F.coalesce("__times", F.lit(1)))).alias("__copy"))
+    return repeated.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -124,6 +124,27 @@ def test_tokens_are_those_of_the_library(spark, tiktoken_encoding):
     assert {x.doc_id: x.text for x in back} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_classes_are_the_library_s(tiktoken_encoding):
+    # After a letter or number "'s" is a token of its own; what is neither takes the quote along.
+    own = tiktoken_encoding.encode_ordinary("'s")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c not in (0x20, 0x27)]
+    kinds = byte_bpe.classes()
+    for c, ids in zip(points, tiktoken_encoding.encode_ordinary_batch([chr(c) + "'s" for c in points]), strict=True):
+        assert (ids[-1:] == own) == (kinds[c] != byte_bpe.OTHER), hex(c)
+    begin, kind = byte_bpe.class_runs()
+    assert np.array_equal(np.repeat(kind, np.diff(np.append(begin, 0x110000))), kinds)
+
+
+def test_bpe_edges(spark):
+    empty = frame(spark, [], EXTRA)
+    assert byte_bpe.digests(empty).count() == 0 and byte_bpe.encode(empty).count() == 0 and byte_bpe.decode(byte_bpe.encode(empty)).count() == 0
+    schema = "doc_id long, text string, ids string, n_tokens string, decoded_sha256 string"
+    rows = [(1, "a b", "x", "y", "z")] * 3 + [(None, "a b", "x", "y", "z"), (2, None, None, None, None)]
+    got = byte_bpe.digests(frame(spark, rows, schema)).collect()
+    assert len(got) == 5 and len({(x.n_tokens, x.ids_sha256) for x in got if x.doc_id != 2}) == 1
+    assert sorted(x.text for x in byte_bpe.decode(byte_bpe.encode(frame(spark, rows, schema))).collect()) == ["", *["a b"] * 4]
+
+
 def test_functions_compose():
     table, of, compose, _ = byte_bpe.monoid()
     r = np.random.default_rng(0)
@@ -149,6 +170,21 @@ def test_mixing_edges(spark):
     assert mixing.repeat_documents(df).columns == df.columns
 
 
+def test_mixing_reruns_agree_on_repeated_ids(spark):
+    r = random.Random(9)
+    rows = [(r.choice([1, 2, 3, 4, None]), " ".join(r.choice("abcd") for _ in range(r.randrange(9))), r.choice(["s", "t", None]), "x") for _ in range(400)]
+    schema = "doc_id long, text string, source string, __bucket string"
+    df = frame(spark, rows, schema)
+    outs = [sorted(map(tuple, mixing.mix_documents(x).collect()), key=str) for x in (df, df.repartition(7), df.repartition(3, "text"), frame(spark, rows[::-1], schema))]
+    assert outs[0] == outs[1] == outs[2] == outs[3] and len(outs[0]) == 400
+    by: dict = {}
+    for _, _, source_size, target, taken in outs[0]:
+        by.setdefault((source_size, target), []).append(taken)
+    assert all(abs(sum(v) - t) <= 0.5 for (_, t), v in by.items())
+    clash = frame(spark, [(1, "a b", "s", 3), (2, "c", "s", 4)], "doc_id long, text string, source string, __times int")
+    assert mixing.repeat_documents(clash).columns == clash.columns and {x["__times"] for x in mixing.repeat_documents(clash).collect()} <= {3, 4}
+
+
 def test_water_filling(spark):
     sizes = [("a", 5, 10), ("b", 2, 1000), ("c", 1, 1000), ("d", 1, 0)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, weight int, source_size long")).collect()}
@@ -158,13 +194,13 @@ def test_water_filling(spark):
 # --- vector search
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_top_k_is_brute_force(spark, block):
+@pytest.mark.parametrize("query_bytes", [1 << 20, 250])
+def test_top_k_is_brute_force(spark, query_bytes):
     r = np.random.default_rng(2)
     v = np.round(r.normal(0, 0.3, (160, 8)), 2).astype("float32").tolist()
     rows = [(i, v[i % 120]) for i in range(160)] + [(170, None), (171, [1.0, None, 1.0]), (172, [float("nan")] * 8), (173, [float("inf")] + [0.0] * 7), (150, v[7]), (None, v[0]), (200, [0.5] * 3), (201, [0.25] * 3), (250, [])]
     got = {}
-    for x in vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, 50, 2, block).collect():
+    for x in vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, 50, 2, query_bytes).collect():
         got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
     fine = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in e]) for i, e in rows if i is not None and e is not None and all(c is not None and np.isfinite(c) for c in e)]
     for q, e in fine:
@@ -192,6 +228,27 @@ def test_top_k_of_repeated_rows_is_the_sql(spark, tmp_path):
     assert got == sorted(con.execute(vector_search.ORACLE).fetchall())
 
 
+def test_bounds_save_completed_scores():
+    r = np.random.default_rng(8)
+    centres = r.normal(0, 1, (100, 32))
+    rows = np.floor(256 * (centres[r.integers(0, 100, 3000)] + r.normal(0, 0.3, (3000, 32))))
+    queries = rows[:40]
+    full = queries @ rows.T
+    free = np.arange(40)[:, None] != np.arange(3000)[None, :]
+    full[~free] = -np.inf
+    tile = vector_search.Tile(queries, rows, 4)
+    q, x, score = vector_search.listed(tile, free, 16)
+    bound = np.array([np.sort(score[q == i])[-5] for i in range(40)]).astype(np.int64)
+    want = np.sort(full, axis=1)[:, -5:]
+    assert (bound <= want[:, 0]).all()
+    count = [0]
+    q, x, score = vector_search.reaching(tile, free, bound, count)
+    assert all(np.array_equal(np.sort(score[q == i])[-5:], want[i]) for i in range(40)) and 200 <= count[0] < 0.1 * full.size
+    big = vector_search.Tile(np.array([[2.0**40, 1.0]]), np.array([[2.0**40, 3.0], [1.0, 1.0]]), 2)
+    q, x, score = vector_search.reaching(big, np.ones((1, 2), bool), np.array([vector_search.NONE]))
+    assert score.tolist() == [2**80 + 3, 2**40 + 1]
+
+
 # --- classifiers
 
 
