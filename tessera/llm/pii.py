@@ -1,9 +1,10 @@
 """Personal data and the terms that give it away.
 
-Base spans (email, ip, card, phone) come from fixed patterns over whole texts, found in linear time. Information-
-theoretic sanitisation adds terms: for every entity (a base span's value), words of any length within WINDOW words of
-a mention are counted over the distinct texts of the whole corpus, so that copies count once. Base spans part words and
-are none themselves. With N texts, a term t discloses an entity e as far as it lowers the information that e carries,
+Base spans (email, ip, card, phone) come from fixed patterns over whole texts, found in linear time. Secrets (keys, tokens)
+have no pattern: they are runs of letters and digits that carry much information, by length and by the entropy of their
+characters. Information-theoretic sanitisation adds terms: for every entity (the value of a base span or a secret), words
+of any length within WINDOW words of a mention are counted over the distinct texts of the whole corpus, so that copies
+count once. Entities part words and are none themselves. With N texts, a term t discloses an entity e as far as it lowers the information that e carries,
 
     disclosure(t, e) = log(P(e | t) / P(e)) / log(1 / P(e)),  P(e | t) = texts with t near e / texts with t,
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Hasher, chunks, fitting, map_arrow, materialise, text_batches, utf8, word_spans
 
 WINDOW, SUPPORT, REMOVE, GENERALISE = 8, 2, 0.95, 0.8
+#: Characters of a secret, the entropy of one of them (bits), and changes between letters and digits.
+SECRET, ENTROPY, CHANGES = 20, 3.0, 2
 BITS = 20
 #: Marks that a join may broadcast (about 10 MB); above it the join is shuffled.
 MARKS = 200_000
@@ -96,6 +99,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+
+
+def is_secret(run: str) -> bool:
+    """Whether a run of ASCII letters and digits carries as much information as keys and tokens do."""
+    counts = np.array([run.count(c) for c in set(run)]) / max(1, len(run))
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(run, run[1:], strict=False))
+    return len(run) >= SECRET and changes >= CHANGES and float(-(counts * np.log2(counts)).sum()) >= ENTROPY
+
+
+def secrets(raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(document, start, end) in the document's bytes of the secrets, in order."""
+    inside = np.concatenate([[False], _ALNUM[raw], [False]])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    long = np.flatnonzero(ends - starts >= SECRET)
+    out = []
+    for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        while a < b:  # texts that adjoin one another part a run
+            doc = int(np.searchsorted(at, a, "right")) - 1
+            end = min(b, int(at[doc + 1]))
+            if end - a >= SECRET and is_secret(raw[a:end].tobytes().decode("ascii")):
+                out.append((doc, a - int(at[doc]), end - int(at[doc])))
+            a = end
+    return out
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -105,17 +135,22 @@ def _term_hash(data: bytes) -> int:
     return int(Hasher(raw)(np.array([0]), np.array([len(raw)])).view(np.int64)[0])
 
 
-def _without_base(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[str, int, int]]]]:
-    """The bytes with spaces for base spans, and the base spans (kind, start, end in the document's bytes) of the documents
+def _without_base(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[str, int, int]]], dict[int, list[tuple[str, int, int]]]]:
+    """The bytes with spaces for base spans and secrets, and both (kind, start, end in the document's bytes) of the documents
     that have any. The patterns are ASCII, so that bytes read as Latin-1 give the same spans."""
-    out, spans = raw.copy(), {}
+    out, spans, hidden = raw.copy(), {}, {}
     hints = np.flatnonzero((raw == 64) | (raw >= 48) & (raw <= 57))
     for i in np.unique(np.searchsorted(at, hints, "right") - 1).tolist():
         if found := base_spans(raw[at[i] : at[i + 1]].tobytes().decode("latin-1")):
             spans[i] = found
             for _, a, b in found:
                 out[at[i] + a : at[i] + b] = 32
-    return out, spans
+    for i, a, b in secrets(out, at):
+        hidden.setdefault(i, []).append(("secret", a, b))
+    for i, own in hidden.items():
+        for _, a, b in own:
+            out[at[i] + a : at[i] + b] = 32
+    return out, spans, hidden
 
 
 _EDGE = np.zeros(256, bool)
@@ -157,15 +192,16 @@ def _find(window: int):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64())]))
-        names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "key", "near"]
+        names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "secrets", "key", "near"]
         for ids, raw, at in text_batches(batches, "doc_id", "text"):
-            blank, spans = _without_base(raw, at)
+            blank, spans, hidden = _without_base(raw, at)
             counts = [pa.array([sum(s[0] == k for s in spans.get(i, ())) for i in range(len(ids))], pa.int64()) for k in KINDS]
             keys = [_key(raw[at[i] : at[i + 1]]) for i in range(len(ids))]
-            base, near = [""] * len(ids), [[] for _ in range(len(ids))]
-            for i, own in spans.items():
+            base, secret, near = [""] * len(ids), [""] * len(ids), [[] for _ in range(len(ids))]
+            for i in sorted(spans.keys() | hidden.keys()):
                 text, points = raw[at[i] : at[i + 1]], _points(raw[at[i] : at[i + 1]])
-                base[i] = ",".join(f"{k}:{points[a]}:{points[b]}" for k, a, b in own)
+                base[i], secret[i] = (",".join(f"{k}:{points[a]}:{points[b]}" for k, a, b in of.get(i, ())) for of in (spans, hidden))
+                own = spans.get(i, []) + hidden.get(i, [])
                 starts, _, hashes = _terms(blank[at[i] : at[i + 1]], np.array([0, len(text)]))
                 found = set()
                 for k, a, b in own:
@@ -178,7 +214,7 @@ def _find(window: int):
                     # A mention without words near it still counts as one of its entity.
                     found |= {(entity, 0, None), *((entity, context, t) for t in terms.tolist())}
                 near[i] = [{"entity": e, "context": c, "term": t} for e, c, t in found]
-            yield pa.RecordBatch.from_arrays([ids, *counts, pa.array(base, pa.string()), pa.array(keys, pa.binary()), pa.array(near, kind)], names)
+            yield pa.RecordBatch.from_arrays([ids, *counts, pa.array(base, pa.string()), pa.array(secret, pa.string()), pa.array(keys, pa.binary()), pa.array(near, kind)], names)
 
     return run
 
@@ -236,10 +272,12 @@ def _bitmap(terms: DataFrame):
 
 def find(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base (spans kind:start:end, comma-
-    joined), terms (array of start, end, action: every word outside base spans, in any text, whose term discloses an entity,
-    removed or generalised). Null
-    and empty texts have no spans; repeated rows are rows of their own, but equal texts count once in all statistics."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, key binary, near array<struct<entity:long,context:long,term:long>>"
+    joined), secrets (likewise), terms (array of start, end, action: every word outside both, in any text, whose term
+    discloses an entity, removed or generalised). Null and empty texts have no spans; repeated rows are rows of their own,
+    but equal texts count once in all statistics; texts of any length are read whole, and words of any length are terms; a
+    term that discloses several entities goes by the strongest, and equal strengths act alike; other columns of docs,
+    whatever their names, are left out; an empty table gives an empty result."""
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, secrets string, key binary, near array<struct<entity:long,context:long,term:long>>"
     found = materialise(map_arrow(docs.select("doc_id", "text"), _find(window), schema), "personal")
     # All counts are of distinct texts: copies are no evidence for a term, and none against it.
     total = max(1, found.select("key").distinct().count())
@@ -272,7 +310,7 @@ def find(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, remove:
         found = found.join(F.broadcast(terms) if small else terms.hint("shuffle_merge"), "key", "left")
     else:
         found = found.withColumn("terms", F.lit(None).cast("array<struct<start:long,end:long,action:string>>"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("terms"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "secrets", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("terms"))
 
 
 def generalised(word: str) -> str:
@@ -281,7 +319,7 @@ def generalised(word: str) -> str:
 
 
 def sanitise(text: str, base: str, terms) -> str:
-    """The text without its personal data: base spans become their kind, terms go or become theirs. Of spans that
+    """The text without its personal data: spans of base (base spans and secrets, comma-joined) become their kind, terms go or become theirs. Of spans that
     overlap, the one that starts first (then the longer) counts."""
     spans = [(int(a), -int(b), f"[{k.upper()}]") for k, a, b in (s.split(":") for s in base.split(",") if s)]
     spans += [(a, -b, "[REMOVED]" if action == "remove" else generalised(text[a:b])) for a, b, action in terms]
@@ -294,7 +332,10 @@ def sanitise(text: str, base: str, terms) -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns: n_secret, and n_spans of all kinds."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     terms = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"])), ",")
-    spans = F.concat_ws(",", *[F.when(c != "", c) for c in (F.col("base"), terms)])
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+    spans = F.concat_ws(",", *[F.when(c != "", c) for c in (F.col("base"), F.col("secrets"), terms)])
+    counts = [*(f"n_{k}" for k in KINDS), F.regexp_count("secrets", F.lit("secret:")).cast("long").alias("n_secret")]
+    every = F.when(spans == "", 0).otherwise(F.regexp_count(spans, F.lit(",")) + 1).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, every, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
