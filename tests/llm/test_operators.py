@@ -317,6 +317,44 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_documents(docs, none).where("predicted = 1").count() == 0
 
 
+def plain_severity(model, text):
+    """Expected grade by the definition: each feature of each word, one after the other."""
+    from tessera.llm.common import Hasher, mix
+
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())
+    times: dict = {}
+    for w in words:
+        raw = np.frombuffer(w, np.uint8)
+        h = Hasher(raw, lower=True)
+        for n in (len(w), *(n for n in toxicity.PREFIXES if len(w) > n)):
+            x = h(np.array([0]), np.array([n]))
+            x = x if n == len(w) else mix(x ^ np.uint64(n))
+            times[int(x[0])] = times.get(int(x[0]), 0) + 1
+    weight = {int(h): w for h, w in zip(model.wanted, model.weights, strict=True)}
+    own = sum(np.log(1 + t * toxicity.HALF / (toxicity.HALF + len(words))) * weight.get(h, 0.0) for h, t in times.items())
+    return sum(1 - 1 / (1 + np.exp(-(t - own))) for t in model.thresholds)
+
+
+def test_severity_is_brute_force(spark):
+    rows, labels = corpus()
+    rows += [(1000, None), (1001, ""), (1002, "Ünter BLORGHING " * 900), (1003, "blorgh"), (1003, "blorgh"), (None, "snarfle x")]
+    docs, marks = frame(spark, [(*x, "en", "s", 1, 1, "l") for x in rows], EXTRA), frame(spark, [*labels, labels[0]], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, marks)
+    texts: dict = {}
+    for d, t in rows:
+        texts.setdefault(d, []).append(t)
+    for r in toxicity.score_documents(docs, model).collect():
+        assert r.severity == pytest.approx(plain_severity(model, texts[r.doc_id][0]), abs=1e-9), r.doc_id
+        assert r.predicted == (r.score >= 0.5) == (r.grade > 0)
+    assert toxicity.score_documents(docs.limit(0), model).count() == 0 and len(toxicity.fit(docs.limit(0), marks).wanted) == 0
+
+
+def test_grades_are_thirds_by_margin():
+    label = np.array([1, 0, 1, 1, 0, 1, 1, 1])
+    assert toxicity.bands(label, np.array([5.0, 9.0, 1.0, 1.0, 0.0, 3.0, 4.0, 2.0])).tolist() == [3, 0, 1, 1, 0, 2, 3, 2]
+    assert toxicity.bands(np.zeros(3, np.int64), np.zeros(3)).tolist() == [0, 0, 0]
+
+
 def test_ordinal_gradient():
     r = np.random.default_rng(1)
     x = r.normal(0, 1, 800)
