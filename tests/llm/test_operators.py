@@ -380,6 +380,67 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, []), model).count() == 0
 
 
+def plain_judgement(model, text):
+    """(family, probability, share, contained) of one paragraph by the definitions, n-gram by n-gram."""
+    words = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text)
+    hashes = {n: [int(licenses._bag([" ".join(words[i : i + n])], (n,))[0][0]) for i in range(len(words) - n + 1)] for n in (1, 2, 3)}
+    index = {int(h): i for i, h in enumerate(model.wanted)}
+    scores = model.bias.copy()
+    for h in {h for hs in hashes.values() for h in hs}:
+        if h in index:
+            scores = scores + model.weights[index[h]]
+    p = np.exp(scores / model.temperature)
+    p /= p.sum()
+    best = int(p.argmax())
+    if best == len(licenses.FAMILIES) - 1:
+        return best, p[best], None, None
+    own = [{int(h) for h in licenses._bag([t], (2,))[0]} for t in licenses.TEMPLATES[licenses.FAMILIES[best]]]
+    two = hashes[2]
+    return best, p[best], sum(any(h in o for o in own) for h in two) / max(1, len(two)), max([len(o & set(two)) / len(o) for o in own if len(o) >= licenses.LEAST], default=0)
+
+
+def test_licence_scores_are_brute_force(spark):
+    from tessera.llm.common import Members, utf8
+    import pyarrow as pa
+
+    rows, _ = corpus(60)
+    model = licenses.fit(frame(spark, rows))
+    r = random.Random(4)
+    texts = [licenses._make(r, r.choice(r.choice([*licenses.TEMPLATES.values(), *licenses.OTHERS.values(), licenses.UNKNOWN]))) for _ in range(120)]
+    texts += ["", "river", rows[1][1], "Permission Permission is is hereby granted hereby granted", "Ünter the MIT License"]
+    raw, at = utf8(pa.array(texts))
+    family, p, share, held = model.judge(model.read(raw, at, Members(model.wanted), Members(model.pairs)), at)
+    assert len(family) == len([t for t in texts]) and len(np.unique(at)) == len(at) - 1
+    for i, t in enumerate(texts):
+        best, chance, a, b = plain_judgement(model, t)
+        assert family[i] == best and p[i] == pytest.approx(chance, abs=1e-9), t
+        if a is not None:
+            assert share[i, best] == pytest.approx(a) and held[i] == pytest.approx(b), t
+
+
+def test_wrapped_licences_are_found_whole(spark):
+    import textwrap
+
+    rows, _ = corpus(60)
+    model = licenses.fit(frame(spark, rows))
+    prose = "\n".join(rows[1][1] for _ in range(40))
+    mit = licenses.TEMPLATES["MIT"]
+    texts = {}
+    for i, (family, body) in enumerate([("MIT", f"{mit[4]}, {mit[8]}"), ("MIT", mit[7]), ("MIT", mit[6]), ("Apache-2.0", licenses.TEMPLATES["Apache-2.0"][2]), ("BSD", licenses.TEMPLATES["BSD"][6])]):
+        for width in (60, 76):
+            texts[len(texts)] = (family, f"{prose}\n\n", textwrap.fill(body, width), f"\n\n{prose}")
+        texts[len(texts)] = (family, f"{prose}. ", body, f"\n\n{prose}" if i else "")
+    docs = [(d, a + b + c) for d, (_, a, b, c) in texts.items()]
+    got = {x.doc_id: [(p.family, p.start, p.end) for p in x.paragraphs] for x in licenses.scan(frame(spark, docs), model).collect()}
+    for d, (family, a, b, _) in texts.items():
+        assert got[d] == [(family, len(a), len(a) + len(b))], (d, got[d])
+    odd = [(1, "This small tool that our team has built over many years is licensed under the Apache License, Version 2.0."), (2, "Released under the BSD Zero Clause License."), (3, "Distributed under the Boost Software License, Version 1.0.")]
+    got = {x.doc_id: [p.family for p in x.paragraphs] for x in licenses.scan(frame(spark, odd + odd[:1]), model).collect()}
+    assert got == {1: ["Apache-2.0"], 2: [], 3: []}
+    clash = frame(spark, [(1, "All rights reserved.", "p", "f")], "doc_id long, text string, paragraphs string, family string")
+    assert [x.paragraphs[0].family for x in licenses.scan(clash, model).collect()] == ["Proprietary"]
+
+
 # --- personal data
 
 
