@@ -7,7 +7,7 @@ added words, changed case), on licences outside the families, on licence-like se
 drawn from anywhere in at most SAMPLE documents. Families that didn't teach (every second one of OTHERS) and held-out
 paragraphs calibrate the temperature and the unknown class. A prediction counts if its probability reaches THRESHOLD
 and templates confirm it: half of the paragraph's word pairs (of a block's, DENSE) are in the family's templates or, for
-sentences and lines, most of one template is in the paragraph. Anything else is unknown. What a block doesn't give, its sentences may, then its lines.
+sentences and lines that no such paragraph meets, most of one template is in it. Anything else is unknown. What a block doesn't give, its sentences may, then its lines.
 
 The model is made on the driver and is of fixed size; a scan is one pass over the texts without a shuffle.
 """
@@ -316,18 +316,24 @@ def fit(docs: DataFrame, most: int = SAMPLE, lines: int = LINES) -> Scanner:
     return fit_scanner(sorted(r["features"] for r in rows for _ in range(min(r["count"], 50))))
 
 
+#: White space and marks of comments and tables around a paragraph.
+_AROUND = b" \t\r\n|#*/"
+
+
 def _spans(model: Scanner, part: np.ndarray, offsets: np.ndarray, features: Members, pairs: Members, threshold: float, share: float, contained: float):
     """(document, family, start, end, probability) of the licence paragraphs in bytes of the chunk, in order."""
     read, every = model.read(part, offsets, features, pairs), levels(part, offsets)
     free, found, edge = np.ones(len(part) + 1, np.int64), [], set(every[0].tolist())
-    for level, bounds in enumerate(every):
-        family, p, shares, held = model.judge(read, bounds)
+    judged = [model.judge(read, bounds) for bounds in every]
+    # Blocks first; then sentences and lines that are all licence, then those that hold some.
+    for level, by_share in ((0, True), (1, True), (2, True), (1, False), (2, False)):
+        bounds, (family, p, shares, held) = every[level], judged[level]
         n, shared = len(family), shares[np.arange(len(family)), np.minimum(family, shares.shape[1] - 1)]
-        good = (family < len(FAMILIES) - 1) & (p >= threshold) & ((shared >= (share if level else max(share, DENSE))) | (level > 0) & (held >= contained))
+        good = (family < len(FAMILIES) - 1) & (p >= threshold) & (shared >= (share if level else max(share, DENSE)) if by_share else held >= contained)
         before = np.concatenate([[0], np.cumsum(free)])
         open_ = before[bounds[1:]] - before[bounds[:-1]] == np.diff(bounds)
         taken: dict[int, tuple[int, float]] = {i: (int(family[i]), float(p[i])) for i in np.flatnonzero(good & open_).tolist()}
-        for i, own in list(taken.items()) if level else ():
+        for i, own in list(taken.items()) if level and by_share else ():
             for step in (1, -1):  # neighbours in the block that the family's templates confirm go with it
                 j = i + step
                 while 0 <= j < n and j not in taken and open_[j] and int(bounds[max(j, j - step)]) not in edge and shares[j, own[0]] >= share:
@@ -359,9 +365,9 @@ def _scan(model: Scanner, threshold: float, share: float, contained: float):
                 found: list[list] = [[] for _ in range(hi - lo)]
                 for doc, family, a, b, p in _spans(model, part, offsets, features, pairs, threshold, share, contained):
                     body = part[a:b].tobytes()
-                    a += len(body) - len(body.lstrip(b" \t\r\n"))
+                    a += len(body) - len(body.lstrip(_AROUND))
                     start = int(np.count_nonzero((part[offsets[doc] : a] & 0xC0) != 0x80))
-                    size = len(body.strip(b" \t\r\n").decode("utf-8", "replace"))
+                    size = len(body.strip(_AROUND).decode("utf-8", "replace"))
                     found[doc].append({"family": FAMILIES[family], "start": start, "end": start + size, "probability": p})
                 rows += found
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "paragraphs"])
@@ -371,7 +377,7 @@ def _scan(model: Scanner, threshold: float, share: float, contained: float):
 
 def scan(docs: DataFrame, model: Scanner, threshold: float = THRESHOLD, share: float = SHARED, contained: float = CONTAINED) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, paragraphs (array of family, start, end in code points without white
-    space around, probability), in order. Null, empty and other texts without licence paragraphs have an empty array;
+    space and comment marks around, probability), in order. Null, empty and other texts without licence paragraphs have an empty array;
     whole texts are read, however long; of families of equal probability the first counts; repeated rows are scanned
     alike; other columns of docs, whatever their names, are left out; an empty table gives an empty result."""
     return map_arrow(docs.select("doc_id", "text"), _scan(model, threshold, share, contained), "doc_id long, paragraphs array<struct<family:string,start:long,end:long,probability:double>>")
