@@ -9,8 +9,8 @@ shingles last, so that two sets that link must share k shingles among the first
    group. Frequent ones need no shuffle: the group each belongs to is in the broadcast list. Documents that share too
    few of their leading shingles to link leave.
 3. The sets of each group's documents (one for each distinct set) are dealt in blocks of bounded size. A block
-   keeps them in a path-compressed trie, common shingles first, so that documents share the paths they have in
-   common. Every set walks the trie of those before it: overlaps on shared paths are counted once, and a
+   keeps them in a path-compressed trie in the global order, read from its common end, so that documents share the paths
+   they have in common. Every set walks the trie of those before it: overlaps on shared paths are counted once, and a
    subtree is left when even its remaining length can't reach the needed overlap, or when all of it is linked already.
 4. Groups of more than one block also put a few anchors into each. Where their documents aren't one component
    after that, the outliers meet every block of the group, so that no link is lost.
@@ -33,6 +33,8 @@ WIDTH, PERCENT = 5, 75
 WINDOW, FREQUENT = 1 << 22, 1 << 19
 #: Documents and shingles of a block, and documents that all blocks of a group share.
 BLOCK, BLOCK_SHINGLES, ANCHORS = 512, 1 << 21, 8
+#: Parts that the rows of a group are dealt in where they meet what is known of the group.
+SALTS = 256
 #: Elements of so many sets are counted by pairs of sets, others as products of so many columns.
 RARE, COLUMNS = 8, 4096
 #: Sets that link share at least n / EXTRA leading shingles, as so many more than needed for one are taken.
@@ -286,17 +288,28 @@ class Trie:
             node, at = child, at + same
 
 
-def link_block(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT, labels: list[int] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def global_order(tokens: np.ndarray, frequent: tuple | None) -> np.ndarray:
+    """Places of distinct shingles (sorted) in the global order from its common end: frequent ones by rank, then the
+    others by hash. frequent: (sorted tokens, their ranks, ...)."""
+    rank = np.full(len(tokens), -1, np.int64)
+    if frequent is not None and len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], tokens), len(frequent[0]) - 1)
+        same = frequent[0][at] == tokens
+        rank[same] = frequent[1][at[same]]
+    place = np.empty(len(tokens), np.int64)
+    place[np.argsort(-rank, kind="stable")] = np.arange(len(tokens))
+    return place
+
+
+def link_block(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT, labels: list[int] | None = None, frequent: tuple | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(links, stars) of a block: a link (a, b) for each merging of two components, and (id, least id of its component in
     the block) for each linked document. labels: components known before."""
     parent = list(range(len(ids)))
     if labels is not None:
         first: dict[int, int] = {}
         parent = [first.setdefault(x, i) for i, x in enumerate(labels)]
-    tokens, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.empty(len(tokens), np.int64)
-    place[np.argsort(-times, kind="stable")] = np.arange(len(tokens))
-    code = place[code.reshape(-1)]
+    tokens, code = np.unique(np.concatenate(sets), return_inverse=True)
+    code = global_order(tokens, frequent)[code.reshape(-1)]
     edge = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).tolist()
     trie, out = Trie(len(tokens), percent, parent), []
     for i in range(len(ids)):
@@ -313,7 +326,7 @@ def link_block(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT, l
     return out, stars
 
 
-def _link(percent: int):
+def _link(percent: int, frequent):
     """Rows sorted by block: rep, shingles, label (null before the first round) after three block columns."""
 
     def run(batches):
@@ -322,7 +335,7 @@ def _link(percent: int):
         block, ids, sets, labels = None, [], [], []
 
         def found():
-            links, stars = link_block(ids, sets, percent, labels if labels[0] is not None else None) if len(ids) > 1 else ([], [])
+            links, stars = link_block(ids, sets, percent, labels if labels[0] is not None else None, frequent.value) if len(ids) > 1 else ([], [])
             both = links + stars
             star = [False] * len(links) + [True] * len(stars)
             return [pa.RecordBatch.from_arrays([pa.array([a for a, _ in both], pa.int64()), pa.array([b for _, b in both], pa.int64()), pa.array(star)], ["a", "b", "star"])] if both else []
@@ -344,13 +357,13 @@ def _link(percent: int):
     return run
 
 
-def _links_of(docs: DataFrame, dealt: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+def _links_of(docs: DataFrame, dealt: DataFrame, width: int, percent: int, name: str, frequent) -> DataFrame:
     """Links and stars within the blocks of dealt (group, x, y, rep, label; materialised)."""
     reps = materialise(dealt.select("rep").distinct(), "reps")
     sets = map_arrow(semi_by_id(docs, "doc_id", reps), _sets(width), "rep long, shingles binary")
     rows = sets.join(fitting(dealt), "rep").select("group", "x", "y", "rep", "label", "shingles")
     rows = rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "rep")
-    return materialise(map_arrow(rows, _link(percent), "a long, b long, star boolean"), name)
+    return materialise(map_arrow(rows, _link(percent, frequent), "a long, b long, star boolean"), name)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -447,6 +460,16 @@ def _link_counts(docs: DataFrame, members: DataFrame, width: int, percent: int)
     return materialise(counted.groupBy("rep").agg(F.sum("links").alias("n_links")), "link-counts")
 
 
+def _salted(df: DataFrame, key: str = "rep") -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(key, F.lit(4)), F.lit(SALTS)).cast("int"))
+
+
+def _by_group(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows (group, salt, ...) joined with facts, one row a group: facts first go to the salts that a group has, so that
+    a group's rows meet them in up to SALTS tasks. Only (group, salt) pairs meet by group alone."""
+    return rows.join(rows.select("group", "salt").distinct().join(facts, "group"), ["group", "salt"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, window: int = WINDOW, frequent: int = FREQUENT, block: int = BLOCK, counts: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, links) of docs (doc_id, text). documents: one row per row of docs with doc_id, n_shingles,
     class_id (smallest doc_id of an equal set) and component_id (smallest doc_id reachable by links); links: pairs (a, b)
@@ -470,39 +493,39 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
 
     leading = materialise_leading(docs, width, percent, sent)
     named = sizes.join(classes, ["n", "fp1", "fp2"]).select("doc_id", "rep", "n")
-    grouped = materialise(leading.join(named, "doc_id").groupBy("group", "rep", "n").agg(F.max("times").alias("times")), "grouped")
+    grouped = materialise(_salted(leading.join(named, "doc_id").groupBy("group", "rep", "n").agg(F.max("times").alias("times"))), "grouped")
     # A set that links shares enough of its leading shingles with others: what shares fewer leaves.
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA))
     alive = materialise(grouped.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select("group"), "alive")
-    grouped = materialise(grouped.join(alive, "group"), "grouped")
+    grouped = materialise(_by_group(grouped, alive), "grouped")
     enough = grouped.groupBy("rep").agg(F.sum("times").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= need).select("rep")
     grouped = grouped.join(enough, "rep")
     # Two sets that link meet in a group even if each leaves groups with fewer than half of what both need. A set leaves
     # those in which it shares least, such as those of a passage.
     least_first = Window.partitionBy("rep").orderBy("times", "group").rowsBetween(Window.unboundedPreceding, 0)
     grouped = grouped.withColumn("left", F.sum("times").over(least_first)).where(2 * F.col("left") > need - 1)
-    grouped = grouped.select("group", "rep", "n")
+    grouped = materialise(grouped.select("group", "salt", "rep", "n"), "grouped")
     size = Window.partitionBy("group")
     totals = grouped.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     totals = totals.where("members > 1").withColumn("blocks", F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
-    members = materialise(grouped.join(totals.select("group", "blocks", "members"), "group"), "members")
+    members = materialise(_by_group(grouped, totals.select("group", "blocks", "members")), "members")
 
     wide = members.where("blocks > 1")
     anchors = wide.withColumn("__nth", F.row_number().over(size.orderBy(F.xxhash64("rep"), "rep"))).where(F.col("__nth") <= ANCHORS)
     own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
     shape = lambda df, x, y: df.select("group", x.alias("x"), y.alias("y"), "rep", F.lit(None).cast("long").alias("label"))
     first = shape(members, own, F.lit(-1)).unionByName(shape(anchors, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.lit(-1))).distinct()
-    found = _links_of(docs, materialise(first, "blocks"), width, percent, "links")
+    found = _links_of(docs, materialise(first, "blocks"), width, percent, "links", sent)
     links, edges = found.where("not star").drop("star"), found.where("star").drop("star")
     same = named.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
     known = materialise(components(edges.unionByName(same)), "known")
 
     if not wide.isEmpty():
         label = F.coalesce("component", "rep")
-        placed = wide.join(known, F.col("rep") == F.col("id"), "left").select("group", "blocks", "rep", "n", label.alias("label"))
+        placed = wide.join(known, F.col("rep") == F.col("id"), "left").select("group", "salt", "blocks", "rep", "n", label.alias("label"))
         by_label = placed.groupBy("group", "label").agg(F.count("*").alias("size"))
         main = by_label.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts"), (F.sum("size") - F.max("size")).alias("out"))
-        placed = materialise(placed.join(main.where("parts > 1"), "group"), "placed")
+        placed = materialise(_by_group(placed, main.where("parts > 1")), "placed")
         if not placed.isEmpty():
             # Outliers (x blocks of them) meet every block y of their group.
             many = F.greatest(F.lit(1), F.ceil(F.col("out") / block)).cast("int")
@@ -510,7 +533,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
             rows = placed.select("group", F.explode(F.sequence(F.lit(0), many - 1)).alias("x"), y.alias("y"), "rep", "label")
             meet = placed.where("label <> main").select("group", F.pmod(F.xxhash64("rep", F.lit(3)), many).cast("int").alias("x"), F.col("blocks"), "rep", "label")
             rows = rows.unionByName(meet.select("group", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "rep", "label"))
-            more = _links_of(docs, materialise(rows.distinct(), "crossings"), width, percent, "more-links")
+            more = _links_of(docs, materialise(rows.distinct(), "crossings"), width, percent, "more-links", sent)
             links = links.unionByName(more.where("not star").drop("star"))
             if not more.isEmpty():
                 hung = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
