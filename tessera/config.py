@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Config:
+    # Names and defaults of the settings.
     # paths and seed
     data_dir: str = "dataset"
     out_dir: str = "output"
@@ -16,6 +17,7 @@ class Config:
     # sampling
     train_s1_frac: float = 0.4
     val_frac: float = 0.2
+    val_max: int = 50_000
     folds: int = 3
     # blocking
     knn_k: int = 25
@@ -36,13 +38,13 @@ class Config:
     safety_net: bool = True
     safe_cos_name: float = 0.5
     safe_cos_all: float = 0.7
-    singleton_gate: bool = True
     noise_floor: float = 0.2
     # models
     trees: int = 60
     depth: int = 5
     learning_rate: float = 0.1
     bags: int = 1
+    early_stop: bool = True
     # neural hooks
     use_emb: bool = False
     use_ce: bool = False

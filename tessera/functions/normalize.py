@@ -1,21 +1,37 @@
-"""Names and addresses to comparable forms, as built-in column expressions (no Python per row).
+"""Names and addresses to comparable forms, as built-in column expressions.
 
-Letters beyond ASCII are folded by table (Latin scripts); ``translit`` has a function for other scripts, to apply first.
+Letters of Latin scripts lose their marks by table, composed or not. Only texts with letters of other scripts go through
+Python (``translit``), in Arrow batches; all others reach it as null.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters and what they fold to: their base letter, and those without one by table.
-_PLAIN = {"đ": "d", "ħ": "h", "ı": "i", "ł": "l", "ø": "o", "ŧ": "t"}
-FOLD_FROM = "".join(c for c in map(chr, range(0xDF, 0x180)) if c.islower() and (c in _PLAIN or "a" <= unicodedata.normalize("NFD", c)[0] <= "z"))
-FOLD_TO = "".join(_PLAIN.get(c) or unicodedata.normalize("NFD", c)[0] for c in FOLD_FROM)
-FOLD_TWO = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ð", "d")]
+from tessera.functions.translit import transliterated
+
+_NAMED = re.compile("LATIN SMALL LETTER (?:DOTLESS )?([A-Z])(?: WITH .*)?$")
+
+
+def _base(c: str) -> str:
+    """The plain letter of a small Latin letter with marks, else empty."""
+    first = unicodedata.normalize("NFKD", c)[0]
+    named = _NAMED.match(unicodedata.name(c, ""))
+    return first if "a" <= first <= "z" else named[1].lower() if named else ""
+
+
+# Small letters of Latin-1, Latin Extended-A, -B and Additional, and what they fold to.
+_SMALL = [c for c in map(chr, (*range(0xDF, 0x250), *range(0x1E00, 0x1F00))) if c.islower() and _base(c)]
+FOLD_FROM, FOLD_TO = "".join(_SMALL), "".join(map(_base, _SMALL))
+FOLD_TWO = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ð", "d"), ("ŋ", "ng")]
+MARKS = r"[\u0300-\u036F]"
+#: A letter or number beyond the Latin scripts.
+BEYOND = r"(?=[\p{L}\p{N}])[^\x00-\u024F\u1E00-\u1EFF]"
 # Patterns of names.
 DBA = r"(?i)^.*?\b(?:trading as|doing business as|d/b/a|dba|t/a|aka|a\.k\.a\.?)\s+"
 HAS_DBA = r"(?i)\b(?:trading as|doing business as|d/b/a|dba|t/a|aka|a\.k\.a\.?)\s+"
@@ -55,6 +71,7 @@ STREETS = (
     "passage pass cours crs quai q north n south s east e west w first 1st second 2nd "
     "third 3rd fourth 4th fifth 5th sixth 6th seventh 7th eighth 8th ninth 9th tenth 10th"
 )
+# Address phrases and their short forms, in this order.
 PHRASES = [
     ("new york", "ny"), ("new jersey", "nj"), ("new mexico", "nm"), ("new hampshire", "nh"),
     ("north carolina", "nc"), ("north dakota", "nd"), ("south carolina", "sc"),
@@ -64,6 +81,7 @@ PHRASES = [
     ("tamil nadu", "tn"), ("jammu and kashmir", "jk"), ("jammu kashmir", "jk"),
     ("ile de france", "idf"),
 ]
+# Address words that go.
 ADDRESS_STOPS = "na n/a city near opp opposite behind beside c o h no po ps cedex".split()
 
 
@@ -78,11 +96,17 @@ def _text(c: Column) -> Column:
 
 
 def fold_latin(c: Column) -> Column:
-    """Lower case, Latin letters without their marks."""
-    folded = F.translate(F.lower(_text(c)), FOLD_FROM, FOLD_TO)
+    """Lower case, Latin letters without their marks, whether composed or followed by combining ones."""
+    folded = F.translate(F.regexp_replace(F.lower(_text(c)), MARKS, ""), FOLD_FROM, FOLD_TO)
     return reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), FOLD_TWO, folded)
 
 
+def to_ascii(c: Column) -> Column:
+    """Lower case, letters of any script by their ASCII sounds."""
+    folded = fold_latin(c)
+    return F.coalesce(transliterated(F.when(folded.rlike(BEYOND), folded)), folded)
+
+
 def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda t: t != "")
 
@@ -117,7 +141,7 @@ def drop_legal(c: Column) -> Column:
 
 
 def norm_name(c: Column) -> Column:
-    return drop_legal(join_initials(strip_honorific(alnum(strip_noise(strip_domain(fold_latin(strip_dba(c))))))))
+    return drop_legal(join_initials(strip_honorific(alnum(strip_noise(strip_domain(to_ascii(strip_dba(c))))))))
 
 
 def name_sort(normed: Column) -> Column:
@@ -140,7 +164,7 @@ def name_skeleton(normed: Column) -> Column:
 
 
 def norm_addr(c: Column) -> Column:
-    padded = F.concat(F.lit(" "), F.regexp_replace(fold_latin(c), "[^a-z0-9]+", " "), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.regexp_replace(to_ascii(c), "[^a-z0-9]+", " "), F.lit(" "))
     phrased = reduce(lambda x, ab: F.replace(x, F.lit(f" {ab[0]} "), F.lit(f" {ab[1]} ")), PHRASES, padded)
     table = F.create_map(*[F.lit(x) for pair in short_forms().items() for x in pair])
     short = F.transform(tokens(phrased), lambda t: F.coalesce(F.try_element_at(table, t), t))

@@ -1,7 +1,8 @@
-"""Other scripts to ASCII, approximately: names of Unicode letters give their sound.
+"""Other scripts to ASCII, approximately.
 
-Latin, Greek, Cyrillic and the Indic scripts whose letters are named by their sound (DEVANAGARI LETTER KA) are covered;
-other letters are dropped. Text in Latin script needs ``normalize.fold_latin`` only, which stays in the JVM.
+Indic scripts, whose letters are named by their sound (DEVANAGARI LETTER KA), follow their rule of the inherent vowel; the
+letters of other scripts sound as the transliteration rules that come with Spark's JVM say, letter by letter. Text in
+Latin script needs ``normalize.fold_latin``'s own expressions only, which stay in the JVM.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +39,32 @@ def sound(c: str) -> str:
     return _GREEK.get(m["sound"], m["sound"].lower()) if m["script"] == "GREEK" else m["sound"].lower()
 
 
-def transliterate(text: str | None) -> str:
+#: Letters that the table of sounds covers: Greek to Tifinagh without Indic scripts, kana, Han and Hangul.
+COVERED = [range(0x370, 0x900), range(0xE00, 0x1E00), range(0x1F00, 0x2000), range(0x2C00, 0x2E00), range(0x3040, 0x3130), range(0x4E00, 0xA000), range(0xAC00, 0xD7A4)]
+
+
+@lru_cache(maxsize=1)
+def sounds() -> tuple[str, str]:
+    """The covered letters and, line by line, their ASCII sounds, as the session's JVM transliterates each by itself."""
+    letters = "".join(chr(c) for part in COVERED for c in part if unicodedata.category(chr(c))[0] in "LN")
+    jvm = SparkSession.active()._jvm
+    rules = jvm.com.ibm.icu.text.Transliterator.getInstance("Any-Latin; Latin-ASCII; Lower")
+    lines = rules.transliterate("\n".join(letters)).split("\n")
+    return letters, "\n".join(re.sub("[^a-z0-9]", "", x) for x in lines)
+
+
+@lru_cache(maxsize=2)
+def _table(letters: str, lines: str) -> dict[str, str]:
+    return dict(zip(letters, lines.split("\n"), strict=True))
+
+
+def transliterate(text: str | None, table: dict[str, str] | None = None) -> str:
     """ASCII sounds of a text. An Indic consonant keeps its inherent a unless a vowel sign or a virama follows."""
     out = []
     for c in unicodedata.normalize("NFC", text or ""):
+        if table and (known := table.get(c)):
+            out.append(known)
+            continue
         name = unicodedata.name(c, "") if c > "\x7f" else ""
         script = name.split(" ")[0]
         if script in _INDIC:
@@ -50,8 +74,14 @@ def transliterate(text: str | None) -> str:
     return "".join(out).lower()
 
 
-@F.pandas_udf(T.StringType())
-def transliterate_column(texts: pd.Series) -> pd.Series:
-    """Transliterated texts; each distinct text of a batch is done once."""
-    distinct = {t: transliterate(t) for t in texts.dropna().unique()}
-    return texts.map(distinct).fillna("")
+def transliterated(texts: Column) -> Column:
+    """Transliterated texts, null for null; each distinct text of a batch is done once."""
+    letters, lines = sounds()
+
+    @F.pandas_udf(T.StringType())
+    def ascii_sounds(texts: pd.Series) -> pd.Series:
+        table = _table(letters, lines) if texts.notna().any() else {}
+        distinct = {t: transliterate(t, table) for t in texts.dropna().unique()}
+        return texts.map(distinct).astype(object).where(texts.notna(), None)
+
+    return ascii_sounds(texts)

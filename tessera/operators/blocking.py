@@ -34,6 +34,4 @@ def candidates(records: DataFrame, cfg: Config = CURRENT) -> DataFrame:
     rows = reduce(DataFrame.unionByName, [*found, key_pairs(records, cfg)])
     flags = [F.max(F.when(F.col("key_name") == f, 1).otherwise(0)).alias(f) for f in (*CHANNELS, *cfg.keys)]
     pairs = written(rows.groupBy("country", "q_id", "s1_id").agg(*flags), "pairs")
-    for name, space in (("cos_all", joint), ("cos_name", names), ("cos_addr", addresses)):
-        pairs = tfidf.pair_cosine(pairs, space, name)
-    return pairs
+    return tfidf.pair_cosines(pairs, written(tfidf.vectors(names, addresses), "vectors"), cfg.w_name)

@@ -14,17 +14,17 @@ def doc_frequency(records: DataFrame, tokens: str) -> DataFrame:
 
 
 def two_rarest(records: DataFrame, tokens: str, names: tuple[str, str]) -> DataFrame:
-    """(id, first, second): each record's rarest tokens, ties by alphabet; only records that have a token."""
+    """(country, id, first, second): each record's rarest tokens, ties by alphabet; only records that have a token."""
     long = records.select("country", "id", F.explode(F.array_distinct(tokens)).alias("token"))
-    ranked = long.join(doc_frequency(records, tokens), ["country", "token"]).groupBy("id")
+    ranked = long.join(doc_frequency(records, tokens), ["country", "token"]).groupBy("country", "id")
     # A record's own tokens are few, so that sorting them within its row beats a window.
     best = ranked.agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "token"))), 1, 2).alias("best"))
-    return best.select("id", *[F.coalesce(F.get("best", F.lit(i))["token"], F.lit("")).alias(c) for i, c in enumerate(names)])
+    return best.select("country", "id", *[F.coalesce(F.get("best", F.lit(i))["token"], F.lit("")).alias(c) for i, c in enumerate(names)])
 
 
 def add_rarity(records: DataFrame) -> DataFrame:
     """records with rn1 (rarest name token) and ra1, ra2 (rarest address tokens), empty where there is none."""
-    out = records.join(two_rarest(records, "ntok", ("rn1", "rn2")).drop("rn2"), "id", "left").join(two_rarest(records, "atok", ("ra1", "ra2")), "id", "left")
+    out = records.join(two_rarest(records, "ntok", ("rn1", "rn2")).drop("rn2"), ["country", "id"], "left").join(two_rarest(records, "atok", ("ra1", "ra2")), ["country", "id"], "left")
     return out.fillna("", ["rn1", "ra1", "ra2"])
 
 

@@ -67,10 +67,26 @@ def nearest(space: DataFrame, k: int, least: float) -> DataFrame:
     return sims.where(F.col("sim") > least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def pair_cosine(pairs: DataFrame, space: DataFrame, name: str) -> DataFrame:
-    """pairs (country, q_id, s1_id) with the cosine of their full vectors, 0 without a common feature."""
-    q = space.where("side = 'q'").select("country", "feature", F.col("id").alias("q_id"), F.col("w").alias("wq"))
-    s = space.where("side = 's'").select("country", "feature", F.col("id").alias("s1_id"), F.col("w").alias("ws"))
-    keys = pairs.select("country", "q_id", "s1_id")
-    dots = keys.join(q, ["country", "q_id"]).join(s, ["country", "s1_id", "feature"]).groupBy("country", "q_id", "s1_id").agg(F.round(F.sum(F.col("wq") * F.col("ws")), 6).alias(name))
-    return pairs.join(dots, ["country", "q_id", "s1_id"], "left").fillna(0.0, [name])
+def vectors(names: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(country, id, side, names, addresses): a record's vectors as maps, null where a space has none of it."""
+    whole = lambda df, name: df.groupBy("country", "id", "side").agg(F.map_from_entries(F.collect_list(F.struct("feature", "w"))).alias(name))
+    return whole(names, "names").join(whole(addresses, "addresses"), ["country", "id", "side"], "full")
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two maps, 0 without a common feature."""
+    shared = F.transform(F.map_entries(a), lambda e: e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
+    return F.coalesce(F.aggregate(shared, F.lit(0.0), lambda x, y: x + y), F.lit(0.0))
+
+
+def pair_cosines(pairs: DataFrame, own: DataFrame, w_name: float = CURRENT.w_name) -> DataFrame:
+    """pairs (country, q_id, s1_id) with cos_all, cos_name and cos_addr of their full vectors (as `vectors` gives them).
+    Each record's row meets its pairs once a side; the joint space's cosine follows from the other two, as its
+    parts are vectors of length 1 or none."""
+    side = lambda tag, key: own.where(F.col("side") == tag).select("country", F.col("id").alias(key), F.col("names").alias(f"__n{tag}"), F.col("addresses").alias(f"__a{tag}"))
+    both = pairs.join(side("q", "q_id"), ["country", "q_id"], "left").join(side("s", "s1_id"), ["country", "s1_id"], "left")
+    length = lambda tag: F.sqrt(F.when(F.col(f"__n{tag}").isNotNull(), w_name**2).otherwise(0.0) + F.when(F.col(f"__a{tag}").isNotNull(), (1 - w_name) ** 2).otherwise(0.0))
+    both = both.withColumns({"__name": dot(F.col("__nq"), F.col("__ns")), "__addr": dot(F.col("__aq"), F.col("__as")), "__length": length("q") * length("s")})
+    joint = F.when(F.col("__length") > 0, (w_name**2 * F.col("__name") + (1 - w_name) ** 2 * F.col("__addr")) / F.col("__length")).otherwise(0.0)
+    cosines = {"cos_all": F.round(joint, 6), "cos_name": F.round("__name", 6), "cos_addr": F.round("__addr", 6)}
+    return both.withColumns(cosines).drop("__nq", "__aq", "__ns", "__as", "__name", "__addr", "__length")

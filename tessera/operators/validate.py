@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 
 def _finding(code: str, rows: DataFrame, example: str) -> DataFrame:
-    """Number of rows and the first five distinct examples; the list is kept short before it is sorted as a whole."""
-    first = rows.select(F.col(example).cast("string").alias("e")).distinct().orderBy("e").limit(5).agg(F.array_join(F.array_sort(F.collect_list("e")), ",").alias("examples"))
-    return rows.agg(F.count("*").alias("n")).join(first).where("n > 0").select(F.lit(code).alias("code"), "n", "examples")
+    """Number of rows and the first five distinct examples; only those and one sum meet."""
+    each = rows.groupBy(F.col(example).cast("string").alias("e")).agg(F.count("*").alias("c"))
+    first = each.where("e is not null").orderBy("e").limit(5).select(F.lit(0).cast("long").alias("c"), "e")
+    both = each.agg(F.sum("c").alias("c")).select("c", F.lit(None).cast("string").alias("e")).unionByName(first)
+    found = both.agg(F.sum("c").alias("n"), F.array_join(F.array_sort(F.collect_list("e")), ",").alias("examples"))
+    return found.where("n > 0").select(F.lit(code).alias("code"), "n", "examples")
 
 
 def split_lists(lines: DataFrame) -> DataFrame:
     """lines (left, right, has_tab) as rows (s1_id, ids); blank lines without a tab don't count."""
-    ids = F.filter(F.transform(F.split("right", ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split("right", ","), lambda x: F.trim(x)), lambda x: x != "")
     return lines.where("has_tab").select(F.col("left").alias("s1_id"), ids.alias("ids"))
 
 

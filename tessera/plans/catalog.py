@@ -89,6 +89,18 @@ def norm_addresses(spark, d):
     return records(spark, d).select("id", n.norm_addr(F.col("addr")).alias("naddr"))
 
 
+# Names as written, and what must come out.
+ANY_SCRIPT = [("De\u0301pot Central", "depot central"), ("Vi\u1ec7t H\u01b0ng Ltd", "viet hung"), ("Bra\u0219ov", "brasov"), ("Łódź Øst Straße", "lodz ost strasse"), ("राम", "raama"), ("北京", "beijing"), ("Москва", "moskva"), ("서울", "seoul"), ("İzmir", "izmir")]
+
+
+@query("SELECT n_nationkey, " + " ".join(["CASE n_nationkey", *(f"WHEN {i} THEN '{want}'" for i, (_, want) in enumerate(ANY_SCRIPT)), "ELSE trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) END"]) + " AS nname FROM nation")
+def any_script_names(spark, d):
+    """Names with composed and combining marks and in other scripts, planted over those of the first nations."""
+    names = F.create_map(*[F.lit(x) for i, (name, _) in enumerate(ANY_SCRIPT) for x in (i, name)])
+    name = F.coalesce(F.try_element_at(names, F.col("n_nationkey").cast("int")), "n_name")
+    return table(spark, d, "nation").select("n_nationkey", n.norm_name(name).alias("nname"))
+
+
 @query(f"SELECT page_id, {sql.replace_all('lower(url)', n.DOMAIN, '.1').replace('.1', chr(92) + '1')} AS site, regexp_matches(url, {sql.quoted(n.HAS_DOMAIN)}) AS domain FROM pages")
 def url_domains(spark, d):
     """Domain stripping and the domain flag on real URLs."""
@@ -298,9 +310,11 @@ def truth_unnest(spark, d):
     return truth_pairs(lists)
 
 
-@query(f"WITH {sql.RECORDS}, {sql.TRUTH} SELECT q_id, count(DISTINCT s1_id) AS owners FROM truth GROUP BY q_id HAVING count(DISTINCT s1_id) > 1")
+@query("SELECT 'P' || l_partkey AS q_id, count(DISTINCT l_suppkey) AS owners FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
 def truth_owners(spark, d):
-    return metrics.owners(truth(spark, d))
+    """Collision audit, on pairs that aren't exclusive: parts with more than one supplier."""
+    pairs = table(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("s1_id"), F.concat(F.lit("P"), "l_partkey").alias("q_id"))
+    return metrics.owners(pairs)
 
 
 @query(f"WITH {sql.candidates()}, {sql.TRUTH} SELECT c.country, c.q_id, c.s1_id, CAST(t.q_id IS NOT NULL AS INTEGER) AS y FROM candidates c LEFT JOIN (SELECT DISTINCT * FROM truth) t ON t.s1_id = c.s1_id AND t.q_id = c.q_id")
@@ -407,13 +421,12 @@ def exact_sample(spark, d):
     return sampling.exact_fraction(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), 0.25, 42, "c_custkey", "c_mktsegment")
 
 
-@query(f"SELECT o_orderkey FROM (SELECT o_orderkey, round(ln({_u(7, 'o_orderkey')}) / (0.05 + 4 * p * (1 - p)), 9) AS k FROM (SELECT o_orderkey, (o_orderkey % 101) / 100.0::DOUBLE AS p FROM orders)) ORDER BY k DESC, o_orderkey LIMIT 500")
+@query(f"SELECT o_orderkey FROM (SELECT o_orderkey, ln({_u(7, 'o_orderkey')}) / (0.05 + 4 * p * (1 - p)) AS k FROM (SELECT o_orderkey, (o_orderkey % 101) / 100.0::DOUBLE AS p FROM orders)) ORDER BY k DESC, o_orderkey LIMIT 500")
 def weighted_sample(spark, d):
     """500 orders without replacement, the unsure ones likelier."""
     p = (F.pmod("o_orderkey", F.lit(101)) / 100.0).alias("p")
     rows = table(spark, d, "orders").select("o_orderkey", p)
-    k = F.round(F.log(sampling.uniform("o_orderkey", 7)) / sampling.uncertainty(F.col("p")), 9)
-    return rows.withColumn("k", k).orderBy(F.desc("k"), "o_orderkey").limit(500).select("o_orderkey")
+    return sampling.weighted(rows, 500, sampling.uncertainty(F.col("p")), 7, "o_orderkey").select("o_orderkey")
 
 
 @query("SELECT o_orderkey, CAST(CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 3 AS INTEGER) AS fold FROM orders")
@@ -434,10 +447,11 @@ def customers_with_urgent(spark, d):
     return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def customers_without_orders(spark, d):
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def customers_without_urgent(spark, d):
     """Anti-join distractors."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS parts, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ALL")
@@ -527,7 +541,7 @@ def _labelled_features(spark, d) -> DataFrame:
 
 @query()
 def stage1_model(spark, d):
-    """Out-of-fold scores of a boosted-tree classifier; no SQL, tests hold its ranking quality."""
+    """Out-of-fold scores of a boosted-tree classifier; no SQL; tests hold its scores against a plain walk of the trees."""
     from tessera.plans.model import out_of_fold
 
     rows = out_of_fold(_labelled_features(spark, d), features.STAGE1, QUICK)

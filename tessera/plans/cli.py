@@ -1,7 +1,8 @@
-"""python -m tessera.plans.cli train|predict|all [--flag value]...: resolution of TSV files.
+"""python -m tessera.plans.cli train|predict|all|validate [--flag value]...: resolution of TSV files.
 
 train fits both models, tunes the decision on a validation sample and writes models and parameters; predict writes
-matching_results and candidate_pairs for every S1 record of the test split.
+matching_results.tsv and candidate_pairs.tsv for every S1 record of the test split, in its order. validate checks both
+files and ends with 1 if anything is wrong; matches outside the candidates are a warning only.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import CURRENT, Config
-from tessera.operators import decode, features, metrics, rarity
+from tessera.operators import decode, features, metrics, rarity, validate
 from tessera.operators.records import prepare
 from tessera.operators.sampling import exact_fraction
 from tessera.plans import model, resolve, tune
-from tessera.sources.records import load_split, read_params, truth_pairs, write_id_lists, write_params
+from tessera.sources.records import load_split, read_lines, read_params, truth_pairs, write_id_lists, write_params
 from tessera.sources.scratch import written
 
 
@@ -32,7 +33,9 @@ def train(spark: SparkSession, cfg: Config) -> dict:
     records, pairs = keyed(s1, others, cfg), written(truth_pairs(truth), "truth")
     own = s1.select(F.col("entity_id").alias("s1_id"), "country")
     chosen = written(exact_fraction(own, cfg.train_s1_frac, cfg.seed, "s1_id", "country"), "sample")
-    held = written(exact_fraction(chosen, cfg.val_frac, cfg.seed + 1, "s1_id", "country").select("s1_id"), "held")
+    # At most about val_max S1 records validate, so that what the tuner collects doesn't grow with the data.
+    frac = min(cfg.val_frac, cfg.val_max / max(1, chosen.count()))
+    held = written(exact_fraction(chosen, frac, cfg.seed + 1, "s1_id", "country").select("s1_id"), "held")
     y = pairs.distinct().withColumn("y", F.lit(1))
     rows = resolve.first_stage(records, cfg).join(chosen.select("s1_id"), "s1_id", "left_semi").join(y, ["s1_id", "q_id"], "left").fillna(0, ["y"])
     rows = written(rows, "stage1")
@@ -44,9 +47,11 @@ def train(spark: SparkSession, cfg: Config) -> dict:
     names = features.feature_lists()[1]
     second = model.bag(two.join(held, "s1_id", "left_anti"), names, cfg)
     final = model.score(second, two, "p2").select("s1_id", "q_id", F.col("p2_logit").alias("logit"))
-    # The validation sample is a stated part of the S1 records, and only its pairs and their contestants come here.
+    # Only the validation pairs come here, and of the contestants of a query record the best one, which alone can win it.
+    final = written(final, "scored")
     inside = final.join(held, "s1_id", "left_semi")
-    contest = final.join(held, "s1_id", "left_anti").join(inside.select("q_id").distinct(), "q_id", "left_semi").select("s1_id", "q_id", "logit")
+    contest = final.join(held, "s1_id", "left_anti").join(inside.select("q_id").distinct(), "q_id", "left_semi")
+    contest = contest.groupBy("q_id").agg(F.min_by("s1_id", F.struct(-F.col("logit"), "s1_id")).alias("s1_id"), F.max("logit").alias("logit"))
     rule, best = tune.tune(inside.toPandas(), pairs.join(held, "s1_id", "left_semi").toPandas(), held.toPandas(), competitors=contest.toPandas())
     for k, m in [*((f"one-{i}", m) for i, m in enumerate(one)), *((f"two-{i}", m) for i, m in enumerate(second))]:
         model.save(m, f"{cfg.model_dir}/{k}")
@@ -64,14 +69,31 @@ def predict(spark: SparkSession, cfg: Config) -> DataFrame:
     pruned = written(resolve.second_stage(decode.prune(rows, params["tau"], cfg), records), "stage2")
     final = model.score(two, pruned, "p2").withColumn("logit", F.col("p2_logit"))
     matches = written(decode.select_matches(final, decode.Rule(**params["decision"])), "matches")
-    ids = s1.select(F.col("entity_id").alias("s1_id"))
-    write_id_lists(ids, matches, "matched_entity_ids", f"{cfg.out_dir}/matching_results.tsv")
-    write_id_lists(ids, pruned.select("s1_id", "q_id"), "candidate_entity_ids", f"{cfg.out_dir}/candidate_pairs.tsv")
+    ids = s1.select(F.col("entity_id").alias("s1_id"), F.monotonically_increasing_id().alias("nth"))
+    write_id_lists(ids, matches, "matched_entity_ids", f"{cfg.out_dir}/matching_results.tsv", "nth", True)
+    write_id_lists(ids, pruned.select("s1_id", "q_id"), "candidate_entity_ids", f"{cfg.out_dir}/candidate_pairs.tsv", "nth", True)
     return matches
 
 
+def check(spark: SparkSession, cfg: Config) -> bool:
+    """Whether both files of cfg.out_dir are right; prints what was found."""
+    s1, others, _ = load_split(spark, cfg.data_dir, "test")
+    required, known = s1.select(F.col("entity_id").alias("id")), others.select(F.col("entity_id").alias("id")).distinct()
+    lists, errors = {}, 0
+    for name, column in (("matching_results", "matched_entity_ids"), ("candidate_pairs", "candidate_entity_ids")):
+        header = ("source1_entity_id", column)
+        lines = written(read_lines(spark, f"{cfg.out_dir}/{name}.tsv"), "lines")
+        lists[name] = validate.split_lists(lines.where(F.lower(F.trim("line")) != "\t".join(header)))
+        for row in validate.line_findings(lines, header).unionByName(validate.findings(lists[name], required, known)).collect():
+            print(f"{name}: {row.code}: {row.n} ({row.examples})")
+            errors += 1
+    for row in validate.not_candidates(lists["matching_results"], lists["candidate_pairs"]).collect():
+        print(f"warning: {row.code}: {row.n} ({row.examples})")
+    return not errors
+
+
 def main(args: list[str]) -> None:
-    if not args or args[0] not in ("train", "predict", "all"):
+    if not args or args[0] not in ("train", "predict", "all", "validate"):
         sys.exit(__doc__)
     cfg = CURRENT.parse(args[1:])
     spark = SparkSession.builder.appName("tessera").getOrCreate()
@@ -79,6 +101,8 @@ def main(args: list[str]) -> None:
         print(train(spark, cfg)["val_f05"])
     if args[0] in ("predict", "all"):
         print(predict(spark, cfg).count())
+    if args[0] == "validate":
+        sys.exit(0 if check(spark, cfg) else 1)
 
 
 if __name__ == "__main__":

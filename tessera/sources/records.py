@@ -37,12 +37,24 @@ def id_lists(ids: DataFrame, pairs: DataFrame, header: str) -> DataFrame:
     return ids.join(lists, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(header, F.lit("")).alias(header))
 
 
-def write_id_lists(ids: DataFrame, pairs: DataFrame, header: str, path: str, order: str | None = None) -> None:
-    """The lists as a TSV folder with a header, in the order of a column of `ids` where one is named."""
+def write_id_lists(ids: DataFrame, pairs: DataFrame, header: str, path: str, order: str | None = None, one_file: bool = False) -> None:
+    """The lists as a TSV folder with a header, in the order of a column of `ids` where one is named; with one_file
+    as one file at that path, which one task writes."""
     out = id_lists(ids, pairs, header)
     if order:
         out = out.join(ids.select(F.col("s1_id").alias("source1_entity_id"), F.col(order).alias("__order")), "source1_entity_id").orderBy("__order").drop("__order")
-    out.write.mode("overwrite").options(sep="\t", header=True, emptyValue="", quote="").csv(path)
+    if not one_file:
+        out.write.mode("overwrite").options(sep="\t", header=True, emptyValue="", quote="").csv(path)
+        return
+    folder = f"{path}.parts"
+    out.coalesce(1).write.mode("overwrite").options(sep="\t", header=True, emptyValue="", quote="").csv(folder)
+    jvm, spark = out.sparkSession._jvm, out.sparkSession
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    part = next(f.getPath() for f in fs.listStatus(place(folder)) if f.getPath().getName().startswith("part-"))
+    fs.delete(place(path), True)
+    fs.rename(part, place(path))
+    fs.delete(place(folder), True)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

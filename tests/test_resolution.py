@@ -115,7 +115,8 @@ def test_decoder_is_the_plain_one(spark, seed):
     rule = decode.Rule(temperature=1.3, bias=0.2, prior=0.4)
     got = {(x.s1_id, x.q_id) for x in decode.select_matches(spark.createDataFrame(rows), rule).collect()}
     s, q = (pd.factorize(rows[c], sort=True)[0] for c in ("s1_id", "q_id"))
-    at = tune.decide(s, q, rows["logit"].to_numpy(), rule)
+    own, _, chosen = tune.Sample(s, q, rows["logit"], int(s.max()) + 1).chosen([decode.Rule(), rule])
+    at = own[chosen[1]]
     assert got == set(zip(rows["s1_id"][at], rows["q_id"][at], strict=True)) and got
 
 
@@ -127,6 +128,98 @@ def test_tuning_improves():
     assert best > 0.9 and rule != decode.Rule(tau_min=0.45)
 
 
+def test_quality_of_rules_is_the_metric(spark):
+    r = np.random.default_rng(3)
+    rows = pd.DataFrame({"s1_id": [f"s{x:02d}" for x in r.integers(0, 30, 200)], "q_id": [f"q{x:03d}" for x in r.integers(0, 90, 200)], "logit": np.round(r.normal(0, 2, 200), 1), "ce": r.normal(0, 1, 200)}).drop_duplicates(["s1_id", "q_id"]).reset_index(drop=True)
+    truth = rows[rows["logit"] + r.normal(0, 1, len(rows)) > 1][["s1_id", "q_id"]]
+    ids = [f"s{x:02d}" for x in range(20)]
+    s, q = pd.Categorical(rows["s1_id"], [f"s{x:02d}" for x in range(30)]).codes, pd.factorize(rows["q_id"], sort=True)[0]
+    true = set(map(tuple, truth.to_numpy()))
+    right = [x in true for x in zip(rows["s1_id"], rows["q_id"], strict=True)]
+    n_true = np.array([sum(a == i for a, _ in true) for i in ids])
+    rules = [decode.Rule(temperature=0.9, prior=0.3), decode.Rule(bias=1.0, ce_weight=0.5)]
+    got = tune.Sample(s, q, rows["logit"], 20, right, n_true, rows["ce"]).quality(rules)
+    own = spark.createDataFrame([(x,) for x in ids], "s1_id string")
+    for rule, value in zip(rules, got, strict=True):
+        scored = rows.assign(logit=rows["logit"] + rule.ce_weight * rows["ce"])[["s1_id", "q_id", "logit"]]
+        matches = decode.select_matches(spark.createDataFrame(scored), rule)
+        assert metrics.macro_f05(own, matches, spark.createDataFrame(truth)).first().macro_f05 == pytest.approx(value, abs=1e-9)
+
+
+def test_names_of_any_script(spark):
+    rows = [("De\u0301pot Central", "depot central"), ("Vi\u1ec7t H\u01b0ng", "viet hung"), ("Bra\u0219ov", "brasov"), ("Łódź Øst Straße", "lodz ost strasse"), ("राम", "raama"), ("北京", "beijing"), ("Москва Ltd", "moskva"), ("서울", "seoul"), ("İzmir", "izmir"), (None, ""), ("", "")]
+    df = spark.createDataFrame(rows, "name string, want string").select(n.norm_name(F.col("name")).alias("got"), "want")
+    assert all(r.got == r.want for r in df.collect()), df.collect()
+
+
+def test_scores_are_a_walk_of_the_trees(spark):
+    from dataclasses import replace
+
+    from tessera.plans import model
+
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, (400, 3))
+    rows = pd.DataFrame(x, columns=["a", "b", "c"]).assign(q_id=[f"q{i}" for i in range(400)], y=(x[:, 0] + 0.5 * x[:, 1] + r.normal(0, 0.5, 400) > 0).astype(int))
+    df = spark.createDataFrame(rows).cache()
+    quick = replace(CURRENT, trees=4, depth=3)
+    models = model.bag(df, ["a", "b", "c"], quick)
+    trees = models[0].stages[-1]
+
+    def walk(node, v):
+        while node.numDescendants():
+            split = node.split()
+            node = node.leftChild() if v[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    weights = list(trees.treeWeights)
+    scored = model.score(models, df, "p").orderBy("q_id").toPandas()
+    for _, row in scored.head(60).iterrows():
+        margin = sum(w * walk(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode"), [row.a, row.b, row.c]) for w, t in zip(weights, trees.trees, strict=True))
+        assert row.p == pytest.approx(1 / (1 + np.exp(-2 * margin)), abs=1e-6) and row.p_logit == pytest.approx(2 * margin, abs=1e-4)
+    folded = model.out_of_fold(df, ["a", "b", "c"], quick).toPandas()
+    ranked = folded["p1"].rank()
+    n1 = int(folded["y"].sum())
+    auc = (ranked[folded["y"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(folded) - n1))
+    assert len(folded) == 400 and auc > 0.85
+    assert model.importances(models[0], ["a", "b", "c"])[0][0] == "a"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera.plans import cli
+
+    r = random.Random(7)
+    words = ["blue", "lamp", "stone", "river", "oak", "elm", "north", "green", "iron", "glass", "wolf", "cedar"]
+    for split in ("train", "test"):
+        data, truth = {1: [], 2: [], 3: []}, []
+        for i in range(60):
+            name, addr, country = " ".join(r.sample(words, 3)), f"{r.randrange(10, 99)} {r.choice(words)} street {r.randrange(10000, 99999)}", r.choice(["US", "India"])
+            data[1].append((f"S1-{i}", name, addr, country))
+            own = []
+            for source in (2, 3):
+                if r.random() < 0.7:
+                    data[source].append((f"S{source}-{i}", name.replace("e", "ee", 1) + r.choice(["", " ltd", " inc"]), addr.upper(), country))
+                    own.append(f"S{source}-{i}")
+            truth.append((f"S1-{i}", ",".join(own)))
+        for k, rows in data.items():
+            (tmp_path / f"{split}_source{k}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join("\t".join(x) + "\n" for x in rows))
+        (tmp_path / f"{split}_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join("\t".join(x) + "\n" for x in truth))
+    flags = ["--data-dir", str(tmp_path), "--out-dir", f"{tmp_path}/out", "--model-dir", f"{tmp_path}/m", "--trees", "4", "--depth", "3", "--folds", "2", "--train-s1-frac", "1"]
+    cli.main(["all", *flags])
+    lines = (tmp_path / "out" / "matching_results.tsv").read_text().splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and [x.split("\t")[0] for x in lines[1:]] == [f"S1-{i}" for i in range(60)]
+    want = dict(truth)
+    right = sum(want[k] == v for k, v in (x.split("\t") for x in lines[1:]))
+    assert right > 45 and (tmp_path / "out" / "candidate_pairs.tsv").is_file()
+    with pytest.raises(SystemExit) as end:
+        cli.main(["validate", *flags])
+    assert end.value.code == 0, capsys.readouterr().out
+    (tmp_path / "out" / "matching_results.tsv").write_text("\n".join([*lines[:-1], lines[1]]) + "\n")
+    with pytest.raises(SystemExit) as end:
+        cli.main(["validate", *flags])
+    printed = capsys.readouterr().out
+    assert end.value.code == 1 and "duplicate_row" in printed and "missing_entity" in printed
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.9), ("a", 3, 0.1), ("b", 4, 0.5)], "k string, i int, v double")
     out = {r.i: (r.r, r.n, round(r.m, 6), round(r.s, 6)) for r in df.withColumns({"r": windows.rank(["k"], "v", "i"), "n": windows.size(["k"]), "m": windows.margin(["k"], "v", "i"), "s": windows.share(["k"], "v")}).collect()}
