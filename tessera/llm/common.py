@@ -24,19 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (spark.checkpoint.dir); a local one only where none is set."""
+    """This application's folder below the shared one of the session (spark.checkpoint.dir). Where none is set, as in
+    tests, a local master gets a local one; on a cluster that would lose rows with an executor, so that it is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; results that still read from it are void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows are written to the shared folder once and read from there,
     so that a lost executor costs no recomputation and plans below stay small."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,8 +5,8 @@ line's potential for good or bad sums the weights of its own bins and of those o
 chain adds weights for pairs of neighbouring labels. Forward-backward gives each line's probability of being good, and
 a document's score is their mean, weighted by length. The label of a document is the label of all its lines for learning.
 
-The model is fitted on the driver from at most TRAIN_DOCS labelled documents, whose lines come as bins of a byte
-each; it has a few hundred weights and goes to every task. Scoring is one pass without a shuffle.
+The model is fitted on the driver from at most TRAIN_DOCS labelled documents of at most TRAIN_LINES lines, which come as
+bins of a byte each; it has a few hundred weights and goes to every task. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Hasher, chunks, held_out, labelled_sample, map_arrow, utf8, word_spans
 
-TRAIN_DOCS, ROUNDS, THRESHOLD = 3000, 300, 0.3
+TRAIN_DOCS, TRAIN_LINES, ROUNDS, THRESHOLD = 3000, 4096, 300, 0.3
 EDGES = np.array([0.001, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
 LENGTHS = np.array([1, 16, 48, 128, 384, 1024, 4096])
 WORD_BYTES = np.array([1, 2.5, 3.5, 5, 7, 10, 16])
@@ -166,16 +166,17 @@ def _bins(batches):
         raw, at = utf8(batch.column(1))
         for lo, hi, part, offsets in chunks(raw, at):
             bins, _, upto = line_bins(part, offsets)
-            rows = [bins[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
+            rows = [bins[a:b].tobytes() if b - a <= TRAIN_LINES else None for a, b in zip(upto[:-1], upto[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["doc_id", "label", "bins"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Chain:
-    """The field learned from at most `most` labelled documents that aren't held out. Without labels every line is
-    as likely good as bad."""
+    """The field learned from at most `most` labelled documents that aren't held out; those of more than TRAIN_LINES lines
+    don't teach. A label that is repeated counts once, the larger of several. Without labels every line is as likely good
+    as bad."""
     sample = labelled_sample(labels, "quality", most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    found = sorted(map_arrow(rows, _bins, "doc_id long, label int, bins binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bins"]))
+    found = sorted(map_arrow(rows, _bins, "doc_id long, label int, bins binary").where("bins is not null").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bins"]))
     chain = Chain()
     if found:
         upto = np.concatenate([[0], np.cumsum([len(r["bins"]) // FEATURES for r in found])])
@@ -197,7 +198,9 @@ def _score(chain: Chain):
 
 def score_documents(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, score (0 to 1, higher for better), predicted (1 from
-    the threshold on). Null and empty texts are one empty line and get its score; repeated rows score alike."""
+    the threshold on). Null and empty texts are one empty line and get its score; texts are read whole, however many their
+    lines; repeated rows score alike; other columns of docs, whatever their names, are left out; an empty table gives an
+    empty result."""
     scored = map_arrow(docs.select("doc_id", "text"), _score(chain), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -284,6 +284,53 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score_documents(frame(spark, []), chain).count() == 0
 
 
+def plain_score(chain, text):
+    """Score of one text by the definitions: bins line by line, and sums over all labellings of its lines."""
+    lines = (text or "").split("\n")
+    raw = [x.encode() for x in lines]
+    words = [re.findall(rb"[^ \t-\r]+", x) for x in raw]
+    lower = [[bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in ws] for ws in words]
+    count = lambda x, chars: sum(chr(c) in chars for c in x)
+    cut = lambda edges, v: int(np.searchsorted(edges, v, "right"))
+    bins = []
+    for x, ws, low in zip(raw, words, lower, strict=True):
+        upper, small = count(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(x, "abcdefghijklmnopqrstuvwxyz") + sum(c >= 128 for c in x)
+        per_word, per_byte = max(1, len(ws)), max(1, len(x))
+        symbols, bangs, bars = count(x, "%&*#$@~^_=+<>{}[]\\/`"), count(x, "!"), count(x, "|")
+        again = sum(a == b for a, b in zip(low, low[1:]))
+        twin = len(ws) > 0 and sum(sorted(low) == sorted(other) for other in lower) > 1
+        values = [upper / max(1, upper + small), symbols / per_byte, bangs / per_word, bars / per_word, count(x, "0123456789") / per_byte, again / max(1, len(ws) - 1), count(x, ".,;:?") / per_word, sum(c >= 128 for c in x) / per_byte]
+        last = (upper + symbols + bangs + bars) / per_byte
+        bins.append([*(cut(quality.EDGES, v) for v in values), cut(quality.LENGTHS, len(x)), cut(quality.WORD_BYTES, len(x) / per_word), int(twin) + 2 * (not ws), cut(quality.EDGES, last)])
+    none = [quality.BINS - 1] * quality.FEATURES
+    scores = []
+    for i in range(len(lines)):
+        near = [bins[i], bins[i - 1] if i else none, bins[i + 1] if i + 1 < len(lines) else none]
+        scores.append(chain.bias[0] + sum(chain.unary[k, f, near[k][f]] for k in range(3) for f in range(quality.FEATURES)))
+    total, good = 0.0, np.zeros(len(lines))
+    for bits in np.ndindex(*(2,) * len(lines)):
+        w = np.exp(sum(s * y for s, y in zip(scores, bits, strict=True)) + sum(chain.pair[a, b] for a, b in zip(bits, bits[1:])))
+        total += w
+        good += w * np.array(bits)
+    weight = np.array([len(x) + 1 for x in raw])
+    return float((good / total * weight).sum() / weight.sum())
+
+
+def test_quality_is_brute_force(spark):
+    r = random.Random(21)
+    rows, labels = corpus(120)
+    marks = frame(spark, [*labels, *labels[:9]], "doc_id long, quality int, toxic int")
+    chain = quality.fit(frame(spark, rows), marks)
+    line = lambda: " ".join(r.choice(["River", "stone!", "a|b", "12", "%%%", "lamp", "lamp", "Öl", "x."]) for _ in range(r.randrange(6)))
+    texts = ["\n".join(line() for _ in range(r.randrange(1, 8))) for _ in range(60)] + [None, "", "\n", "lamp\nlamp", "A b\nb a", " \t ", "LAMP!!!\n\n"]
+    got = quality.score_documents(frame(spark, [(i, t, "en", "s", 1, 1, "l") for i, t in enumerate(texts)], EXTRA), chain).collect()
+    for x in got:
+        assert x.score == pytest.approx(plain_score(chain, texts[x.doc_id]), abs=1e-6), texts[x.doc_id]
+        assert x.predicted == (x.score >= 0.3)
+    many = quality.score_documents(frame(spark, [(1, "lamp x.\n" * 20_000)]), chain).collect()
+    assert len(many) == 1 and 0 <= many[0].score <= 1
+
+
 def test_chain_marginals_are_sums_over_labellings():
     r = np.random.default_rng(0)
     chain = quality.Chain()
