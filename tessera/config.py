@@ -45,9 +45,12 @@ class Config:
     learning_rate: float = 0.1
     bags: int = 1
     early_stop: bool = True
-    # neural hooks
+    by_country: bool = False
+    cache: bool = False
+    # second scorers
     use_emb: bool = False
     use_ce: bool = False
+    ce_train_pairs: int = 400_000
     ce_margin: float = 3.0
     ce_max_rows: int = 4_000_000
 

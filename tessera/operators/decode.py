@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,6 +66,14 @@ def select_matches(scored: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return sets.where((F.col("j") <= F.col("best_j")) & active).select("s1_id", "q_id", "p")
 
 
+def select_by(scored: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """select_matches of scored (country, s1_id, q_id, logit, ce) by the rule of the pairs' country, that of the empty name
+    for others, on fused logits. Pairs never cross countries, so that each country's matches are found on their own."""
+    own = [c for c in rules if c]
+    parts = [(rules[""], ~F.coalesce("country", F.lit("")).isin(own) if own else F.lit(True)), *((rules[c], F.col("country") == c) for c in own)]
+    return reduce(DataFrame.unionByName, [select_matches(scored.where(rows).withColumn("logit", fused(F.col("logit"), F.col("ce"), rule.ce_weight)), rule) for rule, rows in parts])
+
+
 def safety_net(cfg: Config = CURRENT) -> Column:
     """Pairs that pruning must never drop, over the first stage's features."""
     c = F.col

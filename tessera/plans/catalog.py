@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from tessera.config import CURRENT, EARLIER, Config
 from tessera.functions import normalize as n
 from tessera.functions.strsim import similarity
-from tessera.operators import blocking, decode, dense, features, metrics, rarity, sampling, tfidf, validate, windows
+from tessera.operators import blocking, decode, dense, embedding, features, metrics, rarity, sampling, tfidf, validate, windows
 from tessera.operators.records import prepare
-from tessera.plans import sql
+from tessera.plans import crosspair, sql
 from tessera.sources.records import id_lists, records_of_documents, truth_pairs
-from tessera.sources.scratch import written
+from tessera.sources.scratch import folder, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -485,6 +485,48 @@ def mean_embeddings(spark, d):
     return rounded(pooled.select("label", F.posexplode("vector").alias("i", "x")))
 
 
+_DISTINCT = "d AS MATERIALIZED (SELECT DISTINCT country, q_id, s1_id FROM key_pairs)"
+
+
+@query(
+    f"""WITH {sql.blocks()}, {_DISTINCT}, x AS (SELECT country, id, trim(name) AS x FROM prep),
+g AS (SELECT country, id, CAST(('0x' || substr(md5(substr(x, CAST(i AS INTEGER), 3)), 1, 6)) AS BIGINT) % {embedding.DIMENSIONS} AS place, count(*) AS c FROM (SELECT *, unnest(range(1, length(x) - 1)) AS i FROM x) GROUP BY country, id, place),
+n AS (SELECT country, id, sqrt(sum(c * c)) AS n FROM g GROUP BY ALL), s AS (SELECT d.country, d.q_id, d.s1_id, sum(a.c * b.c) AS s FROM d JOIN g a ON a.id = d.s1_id AND a.country = d.country JOIN g b ON b.id = d.q_id AND b.country = d.country AND b.place = a.place GROUP BY ALL)
+SELECT d.country, d.q_id, d.s1_id, round(coalesce(s.s / (a.n * b.n), 0), 5) AS emb_cos FROM d LEFT JOIN s ON s.country = d.country AND s.q_id = d.q_id AND s.s1_id = d.s1_id LEFT JOIN n a ON a.id = d.s1_id AND a.country = d.country LEFT JOIN n b ON b.id = d.q_id AND b.country = d.country"""
+)
+def name_embeddings(spark, d):
+    """Cosines of names by an encoder whose vectors are kept by content."""
+    k = keyed(spark, d)
+    pairs = blocking.key_pairs(k).select("country", "q_id", "s1_id").distinct()
+    out = embedding.name_cosines(pairs, k, folder=f"{folder(spark)}/vectors")
+    return out.select("country", "q_id", "s1_id", F.round("emb_cos", 5).alias("emb_cos"))
+
+
+# --- pairs of texts
+
+
+def _pair_texts(spark, d) -> DataFrame:
+    raw = prepare(records(spark, d), keep_raw=True)
+    pairs = blocking.key_pairs(keyed(spark, d)).select("country", "q_id", "s1_id").distinct()
+    y = truth(spark, d).distinct().withColumn("y", F.lit(1))
+    return crosspair.texts(pairs, raw).join(y, ["s1_id", "q_id"], "left").fillna(0, ["y"])
+
+
+@query(f"WITH {sql.blocks()}, {_DISTINCT}, {sql.TRUTH} SELECT d.country, d.q_id, d.s1_id, trim(a.name) || ' ; ' || trim(a.addr) AS a_raw, trim(b.name) || ' ; ' || trim(b.addr) AS b_raw, CAST(t.q_id IS NOT NULL AS INTEGER) AS y FROM d JOIN prep a ON a.id = d.s1_id AND a.country = d.country JOIN prep b ON b.id = d.q_id AND b.country = d.country LEFT JOIN (SELECT DISTINCT * FROM truth) t ON t.s1_id = d.s1_id AND t.q_id = d.q_id")
+def pair_dataset(spark, d):
+    """Both records' texts of each pair with its label, as a pair scorer learns from them."""
+    return _pair_texts(spark, d).select("country", "q_id", "s1_id", "a_raw", "b_raw", "y")
+
+
+@query()
+def pair_scores(spark, d):
+    """A trained pair scorer's log-odds in the zone of unsure pairs, 0 elsewhere; no SQL; a test walks its weights."""
+    rows = written(_pair_texts(spark, d), "pairs")
+    scorer = crosspair.fit(rows.withColumn("p1", F.lit(0.5)))
+    logits = rows.select("country", "q_id", "s1_id", (F.pmod(F.xxhash64("q_id", "s1_id"), F.lit(1001)) / 100.0 - 5).alias("logit"))
+    return rounded(crosspair.rescored(logits, prepare(records(spark, d), keep_raw=True), scorer))
+
+
 # --- validation
 
 

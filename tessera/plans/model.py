@@ -48,6 +48,23 @@ def bag(rows: DataFrame, features: list[str], cfg: Config = CURRENT) -> list[Pip
     return [fit(rows, features, cfg, cfg.seed + 58 * i) for i in range(max(1, cfg.bags))]
 
 
+def bag_by(rows: DataFrame, features: list[str], cfg: Config = CURRENT) -> dict[str, list[PipelineModel]]:
+    """Models of all rows under the empty name and, with cfg.by_country, of each country whose rows have both classes."""
+    models = {"": bag(rows, features, cfg)}
+    if cfg.by_country:
+        both = rows.where("country <> ''").groupBy("country").agg(F.count_distinct("y").alias("n")).where("n > 1")
+        models |= {c: bag(rows.where(F.col("country") == c), features, cfg) for c in sorted(r.country for r in both.collect())}
+    return models
+
+
+def score_by(models: dict[str, list[PipelineModel]], rows: DataFrame, name: str) -> DataFrame:
+    """rows scored by the models of their country, those of other countries by the models of all."""
+    own = [c for c in models if c]
+    rest = rows.where(~F.coalesce("country", F.lit("")).isin(own)) if own else rows
+    parts = [score(models[""], rest, name), *(score(models[c], rows.where(F.col("country") == c), name) for c in own)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def out_of_fold(rows: DataFrame, features: list[str], cfg: Config = CURRENT, name: str = "p1") -> DataFrame:
     """rows (q_id, y) scored by models that didn't see their fold; with one class only, by its share."""
     if rows.select("y").distinct().count() < 2:
@@ -56,8 +73,8 @@ def out_of_fold(rows: DataFrame, features: list[str], cfg: Config = CURRENT, nam
     parts = []
     for k in range(cfg.folds):
         rest = folded.where(F.col("__fold") != k)
-        models = bag(rest if rest.select("y").distinct().count() > 1 else folded, features, cfg)
-        parts.append(score(models, folded.where(F.col("__fold") == k), name))
+        models = bag_by(rest if rest.select("y").distinct().count() > 1 else folded, features, cfg)
+        parts.append(score_by(models, folded.where(F.col("__fold") == k), name))
     return reduce(DataFrame.unionByName, parts).drop("__fold")
 
 

@@ -48,15 +48,50 @@ def write_id_lists(ids: DataFrame, pairs: DataFrame, header: str, path: str, ord
         return
     folder = f"{path}.parts"
     out.coalesce(1).write.mode("overwrite").options(sep="\t", header=True, emptyValue="", quote="").csv(folder)
-    jvm, spark = out.sparkSession._jvm, out.sparkSession
-    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = place(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs, place = file_system(out.sparkSession, folder)
     part = next(f.getPath() for f in fs.listStatus(place(folder)) if f.getPath().getName().startswith("part-"))
     fs.delete(place(path), True)
     fs.rename(part, place(path))
     fs.delete(place(folder), True)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(the Hadoop file system of a path, the function from a string to its path)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table that was written to its end."""
+    fs, place = file_system(spark, path)
+    return fs.exists(place(f"{path}/_SUCCESS"))
+
+
+def purge(spark: SparkSession, path: str) -> None:
+    fs, place = file_system(spark, path)
+    fs.delete(place(path), True)
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Long form: a TSV folder of source1_id, source2_or_source3_id and country, one row a pair."""
+    rows = pairs.select(F.col("s1_id").alias("source1_id"), F.col("q_id").alias("source2_or_source3_id"), "country")
+    rows.write.mode("overwrite").options(sep="\t", header=True).csv(path)
+
+
+def write_zip(spark: SparkSession, files: list[str], path: str) -> None:
+    """An archive of single files under their names, streamed by the driver from and to any file system."""
+    jvm = spark._jvm
+    fs, place = file_system(spark, path)
+    out = jvm.java.util.zip.ZipOutputStream(fs.create(place(path), True))
+    for file in files:
+        source = file_system(spark, file)[0].open(place(file))
+        out.putNextEntry(jvm.java.util.zip.ZipEntry(place(file).getName()))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+        source.close()
+        out.closeEntry()
+    out.close()
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The distinct trimmed ids of a table's first column."""
     df = read_tsv(spark, path)
@@ -80,13 +115,9 @@ def read_params(spark: SparkSession, path: str) -> dict:
 
 def cached(spark: SparkSession, path: str, config: dict, make) -> DataFrame:
     """The table at a path that names its configuration, made once: a changed configuration is another path."""
-    place = f"{path}/{abs(hash_text(json.dumps(config, sort_keys=True, default=str)))}"
-    try:
-        return spark.read.parquet(place)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    make().write.parquet(place)
+    place = f"{path}/{hash_text(json.dumps(config, sort_keys=True, default=str))}"
+    if not exists(spark, place):
+        make().write.mode("overwrite").parquet(place)
     return spark.read.parquet(place)
 
 
