@@ -39,6 +39,8 @@ class Config:
     safe_cos_name: float = 0.5
     safe_cos_all: float = 0.7
     noise_floor: float = 0.2
+    keep_q: int = 0
+    keep_s: int = 0
     # models
     trees: int = 60
     depth: int = 5

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -85,12 +86,38 @@ PHRASES = [
 ADDRESS_STOPS = "na n/a city near opp opposite behind beside c o h no po ps cedex".split()
 
 
+# What the earlier lists lack.
+EARLIER_HONORIFIC = r"^(?:mr|mrs|ms|dr|messrs|m s)\s+"
+LATER_LEGAL = "societe cie etablissements ets association asso syndicat".split()
+LATER_SHORT = "sainte passage cours quai".split()
+LATER_PHRASES = ["ile de france"]
+
+
 def short_forms() -> dict[str, str]:
     """Address word to short form."""
     words = f"{US_STATES} {INDIAN_STATES} {CITIES} {STREETS}".split()
     return dict(zip(words[::2], words[1::2], strict=True))
 
 
+@dataclass(frozen=True)
+class Lists:
+    """The word lists of one set of rules."""
+
+    honorific: str
+    legal: tuple[str, ...]
+    short: tuple[tuple[str, str], ...]
+    phrases: tuple[tuple[str, str], ...]
+
+
+LISTS = Lists(HONORIFIC, tuple(LEGAL), tuple(short_forms().items()), tuple(PHRASES))
+EARLIER_LISTS = Lists(
+    EARLIER_HONORIFIC,
+    tuple(w for w in LEGAL if w not in LATER_LEGAL),
+    tuple(x for x in short_forms().items() if x[0] not in LATER_SHORT),
+    tuple(x for x in PHRASES if x[0] not in LATER_PHRASES),
+)
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -127,8 +154,15 @@ def alnum(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
-def strip_honorific(c: Column) -> Column:
-    return F.regexp_replace(c, HONORIFIC, "")
+def split_dba(c: Column) -> tuple[Column, Column]:
+    """(legal name, trade name): what stands before the first marker and what follows it; without a marker all is legal."""
+    before = F.regexp_replace(_text(c), f"{HAS_DBA}(?s:.*)$", "")
+    trade = F.when(_text(c).rlike(HAS_DBA), strip_dba(c)).otherwise("")
+    return F.trim(before), F.trim(trade)
+
+
+def strip_honorific(c: Column, pattern: str = HONORIFIC) -> Column:
+    return F.regexp_replace(c, pattern, "")
 
 
 def join_initials(c: Column) -> Column:
@@ -136,12 +170,12 @@ def join_initials(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=\b[a-z]) (?=[a-z]\b)", "")
 
 
-def drop_legal(c: Column) -> Column:
-    return F.array_join(F.filter(tokens(c), lambda t: ~t.isin(LEGAL)), " ")
+def drop_legal(c: Column, legal: tuple[str, ...] = LISTS.legal) -> Column:
+    return F.array_join(F.filter(tokens(c), lambda t: ~t.isin(list(legal))), " ")
 
 
-def norm_name(c: Column) -> Column:
-    return drop_legal(join_initials(strip_honorific(alnum(strip_noise(strip_domain(to_ascii(strip_dba(c))))))))
+def norm_name(c: Column, lists: Lists = LISTS) -> Column:
+    return drop_legal(join_initials(strip_honorific(alnum(strip_noise(strip_domain(to_ascii(strip_dba(c))))), lists.honorific)), lists.legal)
 
 
 def name_sort(normed: Column) -> Column:
@@ -163,10 +197,10 @@ def name_skeleton(normed: Column) -> Column:
     return skeleton(F.replace(normed, F.lit(" "), F.lit("")))
 
 
-def norm_addr(c: Column) -> Column:
+def norm_addr(c: Column, lists: Lists = LISTS) -> Column:
     padded = F.concat(F.lit(" "), F.regexp_replace(to_ascii(c), "[^a-z0-9]+", " "), F.lit(" "))
-    phrased = reduce(lambda x, ab: F.replace(x, F.lit(f" {ab[0]} "), F.lit(f" {ab[1]} ")), PHRASES, padded)
-    table = F.create_map(*[F.lit(x) for pair in short_forms().items() for x in pair])
+    phrased = reduce(lambda x, ab: F.replace(x, F.lit(f" {ab[0]} "), F.lit(f" {ab[1]} ")), lists.phrases, padded)
+    table = F.create_map(*[F.lit(x) for pair in lists.short for x in pair])
     short = F.transform(tokens(phrased), lambda t: F.coalesce(F.try_element_at(table, t), t))
     kept = F.filter(short, lambda t: ~t.isin(ADDRESS_STOPS))
     return F.array_join(F.transform(kept, lambda t: F.when(t.rlike("^[0-9]+$"), F.regexp_replace(t, "^0+(?=[0-9])", "")).otherwise(t)), " ")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import CURRENT, Config
+from tessera.operators.windows import rank
 
 
 @dataclass(frozen=True)
@@ -81,5 +82,13 @@ def safety_net(cfg: Config = CURRENT) -> Column:
 
 
 def prune(pairs: DataFrame, tau: float, cfg: Config = CURRENT) -> DataFrame:
+    """Pairs whose p1 is tau or more, that the safety net holds, or that are among the cfg.keep_q best of their query record
+    or the cfg.keep_s best of their S1 record (0: this net is off)."""
     keep = F.col("p1") >= tau
-    return pairs.where(keep | safety_net(cfg) if cfg.safety_net else keep)
+    if cfg.safety_net:
+        keep = keep | safety_net(cfg)
+    for key, tie, n in (("q_id", "s1_id", cfg.keep_q), ("s1_id", "q_id", cfg.keep_s)):
+        if n > 0:
+            pairs = pairs.withColumn(f"__{key}", rank(["country", key], "p1", tie))
+            keep = keep | (F.col(f"__{key}") <= n)
+    return pairs.where(keep).drop("__q_id", "__s1_id")

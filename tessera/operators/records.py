@@ -14,9 +14,9 @@ def _first(a: Column) -> Column:
     return F.coalesce(F.get(a, F.lit(0)), F.lit(""))
 
 
-def prepare(df: DataFrame, keep_raw: bool = False) -> DataFrame:
+def prepare(df: DataFrame, keep_raw: bool = False, lists: n.Lists = n.LISTS) -> DataFrame:
     """df (name, addr and others) with FIELDS; with keep_raw also raw, "name ; addr" as it was."""
-    named = df.withColumns({"nname": n.norm_name(F.col("name")), "naddr": n.norm_addr(F.col("addr"))})
+    named = df.withColumns({"nname": n.norm_name(F.col("name"), lists), "naddr": n.norm_addr(F.col("addr"), lists)})
     words, parts = n.tokens(F.col("nname")), n.tokens(F.col("naddr"))
     numbers = F.filter(parts, n.is_number)
     name = F.coalesce("name", F.lit(""))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.config import CURRENT, EARLIER, Config
 from tessera.functions import normalize as n
 from tessera.functions.strsim import similarity
-from tessera.operators import blocking, decode, dense, embedding, features, metrics, rarity, sampling, tfidf, validate, windows
+from tessera.operators import blocking, decode, dense, diagnosis, embedding, features, metrics, rarity, sampling, tfidf, validate, windows
 from tessera.operators.records import prepare
 from tessera.plans import crosspair, sql
 from tessera.sources.records import id_lists, records_of_documents, truth_pairs
@@ -101,6 +101,17 @@ def any_script_names(spark, d):
     return table(spark, d, "nation").select("n_nationkey", n.norm_name(name).alias("nname"))
 
 
+#: Words that the lists of both rules treat differently, before what the records have.
+_EARLIER_NAME, _EARLIER_ADDR = "shri asso ", "sainte passage ile de france "
+
+
+@query(f"WITH {sql.prep(n.EARLIER_LISTS, f""" planted AS (SELECT * REPLACE ('{_EARLIER_NAME}' || name AS name, '{_EARLIER_ADDR}' || addr AS addr) FROM records),""", "planted")} SELECT id, nname, naddr, skel FROM prep")
+def norm_names_earlier(spark, d):
+    """Names and addresses by the earlier rules' word lists."""
+    planted = records(spark, d).withColumns({"name": F.concat(F.lit(_EARLIER_NAME), "name"), "addr": F.concat(F.lit(_EARLIER_ADDR), "addr")})
+    return prepare(planted, lists=n.EARLIER_LISTS).select("id", "nname", "naddr", "skel")
+
+
 @query(f"SELECT page_id, {sql.replace_all('lower(url)', n.DOMAIN, '.1').replace('.1', chr(92) + '1')} AS site, regexp_matches(url, {sql.quoted(n.HAS_DOMAIN)}) AS domain FROM pages")
 def url_domains(spark, d):
     """Domain stripping and the domain flag on real URLs."""
@@ -359,6 +370,12 @@ def oracle_f05(spark, d):
     return rounded(metrics.oracle_f05(s1_ids(spark, d), blocking.candidates(keyed(spark, d)), truth(spark, d)))
 
 
+@query(f"WITH {sql.candidates()}, {SCORED}, {sql.TRUTH}, plain AS (SELECT DISTINCT s1_id, q_id FROM scored WHERE logit > 0), {sql.per_entity('plain')} SELECT count(*) AS entities, round(avg(f05), 6) AS macro_f05 FROM scored_entity")
+def naive_f05(spark, d):
+    """The score of all pairs above one half, without one owner for each query record."""
+    return rounded(metrics.macro_f05(s1_ids(spark, d), metrics.naive(scored(spark, d)), truth(spark, d)))
+
+
 @query(f"{_DECODED}, {sql.TRUTH}, {sql.per_entity('matches')} SELECT country, count(*) AS entities, round(avg(f05), 6) AS macro_f05 FROM scored_entity JOIN records ON id = s1_id GROUP BY country")
 def f05_by_country(spark, d):
     own = records(spark, d).where("source = 'S1'").select("country", F.col("id").alias("s1_id"))
@@ -388,6 +405,101 @@ def pruned_pairs(spark, d):
     return decode.prune(f.withColumn("p1", p1), 0.6).select("country", "q_id", "s1_id")
 
 
+_RANKED = f"q AS MATERIALIZED (SELECT *, {sql.rank('country, q_id', 'p1', 's1_id')} AS rq, {sql.rank('country, s1_id', 'p1', 'q_id')} AS rs FROM pp)"
+
+
+@query(f"WITH {sql.candidates()}, {SCORED}, {_P}, {_RANKED} SELECT country, q_id, s1_id FROM q WHERE p1 >= 0.9 OR rq <= 2 OR rs <= 3")
+def pruned_by_rank(spark, d):
+    """Pairs that pass the threshold or are among the best of either record."""
+    return decode.prune(_with_p1(spark, d), 0.9, replace(CURRENT, safety_net=False, keep_q=2, keep_s=3)).select("country", "q_id", "s1_id")
+
+
+@query(f"""WITH {sql.candidates()}, {SCORED}, {_P}, {_RANKED} SELECT country, q_id, s1_id, CAST(rq = 1 AS INTEGER) AS q_top, CAST(rs = 1 AS INTEGER) AS s_top, CAST(rq = 1 AND rs = 1 AS INTEGER) AS both_top1, CAST(rq <= 3 AND rs <= 3 AS INTEGER) AS both_top3,
+CAST(sum(CAST(p1 > 0.5 AS INTEGER)) OVER w AS BIGINT) AS s_over_50, CAST(sum(CAST(p1 > 0.8 AS INTEGER)) OVER w AS BIGINT) AS s_over_80, CAST(sum(CAST(p1 > 0.95 AS INTEGER)) OVER w AS BIGINT) AS s_over_95 FROM q WINDOW w AS (PARTITION BY country, s1_id)""")
+def reciprocal_features(spark, d):
+    """Whether both records see each other as best, and how many strong pairs an S1 record has."""
+    return features.reciprocal(_with_p1(spark, d)).drop("p1", "cos_all")
+
+
+# --- diagnosis
+
+_JUDGED = """judged AS MATERIALIZED (SELECT *, round(1 / (1 + exp(-logit0)), 6) AS p, round(1 / (1 + exp(-logit)), 6) AS final FROM (
+  SELECT *, round(logit0 + 0.5 * coalesce(ce, 0), 6) AS logit FROM (SELECT country, s1_id, q_id, logit AS logit0, CASE WHEN abs(logit) < 3 THEN round(8 * cos_addr - 3, 6) END AS ce FROM scored)))"""
+_KINDS = f"""WITH {sql.candidates()}, {SCORED}, {sql.TRUTH}, {_JUDGED}, {sql.decoded('judged', decode.Rule())}, t AS (SELECT DISTINCT s1_id, q_id FROM truth),
+wrong AS (SELECT coalesce(t.s1_id, m.s1_id) AS s1_id, coalesce(t.q_id, m.q_id) AS q_id, t.s1_id IS NOT NULL AS missed FROM t FULL JOIN matches m ON m.s1_id = t.s1_id AND m.q_id = t.q_id WHERE t.s1_id IS NULL OR m.s1_id IS NULL),
+kinds AS MATERIALIZED (SELECT w.s1_id, w.q_id, j.p, j.final, j.ce, CASE WHEN missed AND c.s1_id IS NULL THEN 'blocker_miss' WHEN missed AND coalesce(j.p, 0) < 0.05 THEN 'prune_miss' WHEN missed AND j.final >= 0.5 THEN 'decoder_miss' WHEN missed AND j.p >= 0.5 THEN 'fusion_miss' WHEN missed AND j.ce < 0 THEN 'ce_miss' WHEN missed THEN 'structured_miss'
+  WHEN w.s1_id NOT IN (SELECT s1_id FROM t) THEN 'singleton_wrong' WHEN w.q_id IN (SELECT q_id FROM t) THEN 'owner_wrong' WHEN j.p < 0.5 THEN 'fusion_wrong' WHEN j.ce > 0 THEN 'ce_wrong' ELSE 'structured_wrong' END AS kind
+  FROM wrong w LEFT JOIN candidates c ON c.s1_id = w.s1_id AND c.q_id = w.q_id LEFT JOIN judged j ON j.s1_id = w.s1_id AND j.q_id = w.q_id)"""
+
+
+def _errors(spark, d) -> DataFrame:
+    s = scored(spark, d)
+    ce = F.when(F.abs("logit") < 3, F.round(8 * F.col("cos_addr") - 3, 6))
+    p = lambda c: F.round(decode.calibrated(F.col(c), 1.0, 0.0), 6)
+    both = s.select("s1_id", "q_id", F.col("logit").alias("logit0"), ce.alias("ce")).withColumn("logit", F.round(decode.fused(F.col("logit0"), F.col("ce"), 0.5), 6))
+    judged = written(both.withColumns({"p": p("logit0"), "final": p("logit")}), "judged")
+    return diagnosis.errors(truth(spark, d), s, judged.where("p >= 0.05"), judged, decode.select_matches(judged))
+
+
+@query(f"{_KINDS} SELECT s1_id, q_id, kind, p, final, ce FROM kinds")
+def error_kinds(spark, d):
+    """Every error with the step that made it."""
+    return _errors(spark, d)
+
+
+@query(f"{_KINDS} SELECT kind, count(*) AS n FROM kinds GROUP BY kind")
+def error_counts(spark, d):
+    return diagnosis.error_counts(_errors(spark, d))
+
+
+@query(f"{_KINDS} SELECT s1_id, q_id, kind, p, final, ce, CAST(row_number() OVER w AS INTEGER) AS place FROM kinds WINDOW w AS (PARTITION BY kind ORDER BY CASE WHEN ends_with(kind, '_wrong') THEN -coalesce(final, 0) ELSE coalesce(final, 0) END, s1_id, q_id) QUALIFY row_number() OVER w <= 20")
+def hardest_errors(spark, d):
+    """The twenty errors of each kind that the score is most wrong about."""
+    return diagnosis.hardest(_errors(spark, d), 20)
+
+
+_LABELLED = f"labelled AS MATERIALIZED (SELECT s.*, CAST(t.q_id IS NOT NULL AS INTEGER) AS y, round(1 / (1 + exp(-round(12 * cos_all + 3 * cos_name - 7, 6))), 6) AS p1 FROM stage1 s LEFT JOIN (SELECT DISTINCT * FROM truth) t ON t.s1_id = s.s1_id AND t.q_id = s.q_id)"
+
+
+def _labelled_scored(spark, d) -> DataFrame:
+    logit = F.round(12 * F.col("cos_all") + 3 * F.col("cos_name") - 7, 6)
+    return written(_labelled_features(spark, d).withColumn("p1", F.round(decode.calibrated(logit, 1.0, 0.0), 6)), "judged")
+
+
+@query(f"""WITH {sql.stage1()}, {sql.TRUTH}, {_LABELLED}, f AS (SELECT country, s1_id, q_id, CAST(row_number() OVER (PARTITION BY country, q_id ORDER BY p1 DESC, s1_id) = 1 AS INTEGER) AS top_owner, CAST(row_number() OVER (PARTITION BY country, s1_id ORDER BY p1 DESC, q_id) = 1 AS INTEGER) AS top_query,
+  CAST(skel_eq = 1 AS INTEGER) AS same_name, CAST(p1 >= 0.5 AS INTEGER) AS high_score, CAST(cos_name >= 0.7 AND cos_addr < 0.3 AS INTEGER) AS name_only, CAST(cos_addr >= 0.7 AND cos_name < 0.3 AS INTEGER) AS address_only, CAST(hn_both = 1 AND hn_eq = 0 AS INTEGER) AS other_number FROM labelled WHERE y = 0)
+SELECT * FROM f WHERE top_owner + top_query + same_name + high_score + name_only + address_only + other_number > 0""")
+def hard_negatives(spark, d):
+    """Wrong pairs worth learning from, by category."""
+    return diagnosis.hard_negatives(_labelled_scored(spark, d))
+
+
+@query(f"""WITH {sql.stage1()}, {sql.TRUTH}, {_LABELLED}, b AS (SELECT CAST(substr(q_id, 1, 2) AS VARCHAR) AS source, CAST(least(floor(cos_name * 5), 4) AS INTEGER) AS bin, count(*) FILTER (y = 1) AS matches, count(*) FILTER (y = 0) AS others FROM labelled GROUP BY ALL)
+SELECT source, bin, matches, others, round(ln((matches / greatest(sum(matches) OVER w, 1)::DOUBLE + 0.001) / (others / greatest(sum(others) OVER w, 1)::DOUBLE + 0.001)), 6) AS llr FROM b WINDOW w AS (PARTITION BY source)""")
+def source_evidence(spark, d):
+    """How much a bin of name similarity tells, by source."""
+    return rounded(diagnosis.evidence(_labelled_scored(spark, d), F.substring("q_id", 1, 2), F.least(F.floor(F.col("cos_name") * 5), F.lit(4)).cast("int")))
+
+
+_TRADE = "CASE WHEN doc_id % 2 = 0 THEN array_to_string(string_split(name, ' ')[1:2], ' ') || ' dba ' || array_to_string(string_split(name, ' ')[3:4], ' ') ELSE name END"
+_NORMED = lambda x: f"coalesce(array_to_string(list_filter({sql.words(sql.replace_all(sql.fold(x), '[^a-z0-9]+', ' '))}, lambda t: NOT list_contains({sql.strings(n.LEGAL)}, t)), ' '), '')"
+_CROSS = {f"{x}_{y}": f"CASE WHEN a.{x} = '' OR b.{y} = '' THEN 0.0::DOUBLE WHEN a.{x} = b.{y} THEN 1.0::DOUBLE ELSE jaro_winkler_similarity(a.{x}, b.{y}) END" for x in ("legal", "trade") for y in ("legal", "trade")}
+
+
+@query(f"""WITH {sql.blocks()}, named2 AS (SELECT country, id, {_TRADE} AS x FROM prep),
+two AS MATERIALIZED (SELECT country, id, {_NORMED(f"regexp_replace(x, {sql.quoted(n.HAS_DBA + '(?s:.*)$')}, '')")} AS legal, {_NORMED(f"CASE WHEN regexp_matches(x, {sql.quoted(n.HAS_DBA)}) THEN regexp_replace(x, {sql.quoted(n.DBA)}, '') ELSE '' END")} AS trade FROM named2)
+SELECT p.country, p.q_id, p.s1_id, {', '.join(f'round({v}, 5) AS {k}' for k, v in _CROSS.items())}, round(greatest({', '.join(_CROSS.values())}), 5) AS dba_sim FROM (SELECT DISTINCT country, q_id, s1_id FROM key_pairs) p JOIN two a ON a.id = p.s1_id AND a.country = p.country JOIN two b ON b.id = p.q_id AND b.country = p.country""")
+def cross_names(spark, d):
+    """Legal and trade names of both sides against each other; every second record gets a marker between its words."""
+    k = keyed(spark, d)
+    words, number = F.split("name", " "), F.substring_index("id", "-", -1).cast("long")
+    part = lambda i, m: F.array_join(F.slice(words, i, m), " ")
+    named = k.select("country", "id", "source", F.when(number % 2 == 0, F.concat(part(1, 2), F.lit(" dba "), part(3, 2))).otherwise(F.col("name")).alias("name"))
+    g = features.gather(blocking.key_pairs(k).select("country", "q_id", "s1_id").distinct(), named, ["name"])
+    out = features.cross_names(g).drop("a_name", "b_name")
+    return out.select("country", "q_id", "s1_id", *[F.round(c, 5).alias(c) for c in (*_CROSS, "dba_sim")])
+
+
 @query(f"{_DECODED} SELECT id AS source1_entity_id, coalesce(l, '') AS matched_entity_ids FROM records LEFT JOIN (SELECT s1_id, string_agg(q_id, ',' ORDER BY q_id) AS l FROM matches GROUP BY ALL) ON s1_id = id WHERE source = 'S1'")
 def matching_results(spark, d):
     """One row for each S1 record with its sorted matches, empty if there are none."""
@@ -434,6 +546,13 @@ def hash_folds(spark, d):
     return table(spark, d, "orders").select("o_orderkey", sampling.fold("o_orderkey", CURRENT.folds).alias("fold"))
 
 
+@query(f"WITH {sql.RECORDS}, {sql.TRUTH}, own AS (SELECT country, id AS s1_id, coalesce(n, 0) AS matches FROM records LEFT JOIN (SELECT s1_id, CAST(least(count(DISTINCT q_id), 3) AS INTEGER) AS n FROM truth GROUP BY s1_id) ON s1_id = id WHERE source = 'S1') SELECT s1_id, country, matches, CAST((row_number() OVER (PARTITION BY country, matches ORDER BY {_u(42, 's1_id')}, s1_id) - 1) % 5 AS INTEGER) AS fold FROM own")
+def stratified_folds(spark, d):
+    """Five folds of S1 records that are alike in country and number of matches."""
+    own = records(spark, d).where("source = 'S1'").select("country", F.col("id").alias("s1_id"))
+    return sampling.stratified_folds(metrics.cardinality(own, truth(spark, d)), ["country", "matches"], 5, 42, "s1_id").select("s1_id", "country", "matches", "fold")
+
+
 @query(f"WITH {sql.candidates()}, {SCORED} SELECT country, q_id, s1_id FROM scored QUALIFY row_number() OVER (PARTITION BY country ORDER BY abs(logit), q_id, s1_id) <= 100")
 def most_uncertain(spark, d):
     """The hundred least certain pairs of each country."""

@@ -24,7 +24,7 @@ from tessera.sources.scratch import written
 
 
 #: Settings that prediction takes from training.
-LEARNED = "knn_k knn_k_name knn_k_addr knn_min knn_min_name knn_min_addr w_name knn_max_df knn_df_floor key_cap_s1 key_cap_q min_key_len keys safety_net safe_cos_name safe_cos_all use_emb use_ce ce_margin".split()
+LEARNED = "knn_k knn_k_name knn_k_addr knn_min knn_min_name knn_min_addr w_name knn_max_df knn_df_floor key_cap_s1 key_cap_q min_key_len keys safety_net safe_cos_name safe_cos_all keep_q keep_s use_emb use_ce ce_margin".split()
 
 
 def keyed(s1: DataFrame, others: DataFrame, cfg: Config) -> DataFrame:

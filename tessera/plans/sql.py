@@ -43,20 +43,21 @@ RECORDS = f"""records AS MATERIALIZED (
            doc_id % 3 <> 0 OR doc_id = min(doc_id) OVER (PARTITION BY doc_id % 3, coalesce(lang, ''), coalesce(text, '')) AS keep
     FROM (SELECT *, {words(replace_all("coalesce(text, '')", "[ \\t\\n\\r]+", " "))} AS w FROM documents)) WHERE keep)"""
 
-_KEYS, _VALUES = strings(n.short_forms()), strings(n.short_forms().values())
-_PHRASED = reduce(lambda s, ab: f"replace({s}, {quoted(f' {ab[0]} ')}, {quoted(f' {ab[1]} ')})", n.PHRASES, f"' ' || {replace_all(fold('addr'), '[^a-z0-9]+', ' ')} || ' '")
-_STEP3 = replace_all(f"trim({replace_all(replace_all(replace_all(fold(f'regexp_replace(name, {quoted(n.DBA)}, {quoted("")})'), n.DOMAIN, r'\1'), n.NOISE, ' '), '[^a-z0-9]+', ' ')})", n.HONORIFIC, "")
-
-PREP = f"""{RECORDS},
+def prep(lists: n.Lists = n.LISTS, planted: str = "", base: str = "records") -> str:
+    """Prepared records of `base` by a set of word lists; planted: its definition where it isn't the records themselves."""
+    keys, values = strings(k for k, _ in lists.short), strings(v for _, v in lists.short)
+    phrased = reduce(lambda s, ab: f"replace({s}, {quoted(f' {ab[0]} ')}, {quoted(f' {ab[1]} ')})", lists.phrases, f"' ' || {replace_all(fold('addr'), '[^a-z0-9]+', ' ')} || ' '")
+    step3 = replace_all(f"trim({replace_all(replace_all(replace_all(fold(f'regexp_replace(name, {quoted(n.DBA)}, {quoted("")})'), n.DOMAIN, r'\1'), n.NOISE, ' '), '[^a-z0-9]+', ' ')})", lists.honorific, "")
+    return f"""{RECORDS},{planted}
 named AS MATERIALIZED (
   SELECT *, {words("joined")} AS jw FROM (
     SELECT *, array_to_string(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN i = 1 THEN t[i] WHEN regexp_full_match(t[i], '[a-z]') AND regexp_full_match(t[i - 1], '[a-z]') THEN t[i] ELSE ' ' || t[i] END), '') AS joined
-    FROM (SELECT *, {words(_STEP3)} AS t FROM records))),
+    FROM (SELECT *, {words(step3)} AS t FROM {base}))),
 addressed AS MATERIALIZED (
   SELECT * EXCLUDE (t, joined, jw, a), coalesce(array_to_string(nt, ' '), '') AS nname,
          coalesce(array_to_string(list_transform(list_filter(a, lambda x: NOT list_contains({strings(n.ADDRESS_STOPS)}, x)), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), ' '), '') AS naddr
-  FROM (SELECT *, list_filter(jw, lambda x: NOT list_contains({strings(n.LEGAL)}, x)) AS nt,
-               list_transform({words(_PHRASED)}, lambda x: coalesce({_VALUES}[list_position({_KEYS}, x)], x)) AS a FROM named)),
+  FROM (SELECT *, list_filter(jw, lambda x: NOT list_contains({strings(lists.legal)}, x)) AS nt,
+               list_transform({words(phrased)}, lambda x: coalesce({values}[list_position({keys}, x)], x)) AS a FROM named)),
 prep AS MATERIALIZED (
   SELECT id, source, country, name, addr, doc_id, nname, naddr, {skeleton("replace(nname, ' ', '')")} AS skel,
          coalesce(array_to_string(list_sort(nt), ' '), '') AS name_sort,
@@ -71,6 +72,9 @@ prep AS MATERIALIZED (
   FROM (SELECT *, list_filter(parts, lambda x: regexp_full_match(x, '[0-9]+')) AS num FROM (SELECT *, {words("naddr")} AS parts FROM addressed)))"""
 
 
+PREP = prep()
+
+
 def _rarest(tokens: str, names: tuple[str, ...], out: str) -> str:
     picks = ", ".join(f"coalesce(max(CASE WHEN r = {i + 1} THEN token END), '') AS {c}" for i, c in enumerate(names))
     return f"""{out}_long AS (SELECT country, id, unnest(list_distinct({tokens})) AS token FROM prep),
