@@ -432,8 +432,8 @@ kinds AS MATERIALIZED (SELECT w.s1_id, w.q_id, j.p, j.final, j.ce, CASE WHEN mis
   FROM wrong w LEFT JOIN candidates c ON c.s1_id = w.s1_id AND c.q_id = w.q_id LEFT JOIN judged j ON j.s1_id = w.s1_id AND j.q_id = w.q_id)"""
 
 
-def _errors(spark, d) -> DataFrame:
-    s = scored(spark, d)
+def _errors(spark, d, s: DataFrame | None = None) -> DataFrame:
+    s = scored(spark, d) if s is None else s
     ce = F.when(F.abs("logit") < 3, F.round(8 * F.col("cos_addr") - 3, 6))
     p = lambda c: F.round(decode.calibrated(F.col(c), 1.0, 0.0), 6)
     both = s.select("s1_id", "q_id", F.col("logit").alias("logit0"), ce.alias("ce")).withColumn("logit", F.round(decode.fused(F.col("logit0"), F.col("ce"), 0.5), 6))
@@ -458,6 +458,16 @@ def hardest_errors(spark, d):
     return diagnosis.hardest(_errors(spark, d), 20)
 
 
+@query(f"""{_KINDS.replace(sql.candidates(), sql.stage1(), 1)} SELECT kind, g AS "group", count(*) AS n FROM (SELECT kind, unnest([CASE WHEN dba_b = 1 THEN 'dba' END, CASE WHEN nonascii_a = 1 OR nonascii_b = 1 THEN 'non_ascii' END, CASE WHEN cos_name >= 0.7 AND cos_addr < 0.3 THEN 'name_only' END,
+  CASE WHEN cos_addr >= 0.7 AND cos_name < 0.3 THEN 'address_only' END, CASE WHEN hn_both = 1 AND hn_eq = 0 THEN 'other_number' END]) AS g FROM kinds k JOIN stage1 s ON s.s1_id = k.s1_id AND s.q_id = k.q_id) WHERE g IS NOT NULL GROUP BY ALL""")
+def error_groups(spark, d):
+    """Errors of each kind by groups of pairs."""
+    k = keyed(spark, d)
+    f = written(features.stage1(written(blocking.candidates(k), "candidates"), k), "stage1")
+    s = f.withColumn("logit", F.round(12 * F.col("cos_all") + 3 * F.col("cos_name") - 7, 6))
+    return diagnosis.error_groups(_errors(spark, d, s), f)
+
+
 _LABELLED = f"labelled AS MATERIALIZED (SELECT s.*, CAST(t.q_id IS NOT NULL AS INTEGER) AS y, round(1 / (1 + exp(-round(12 * cos_all + 3 * cos_name - 7, 6))), 6) AS p1 FROM stage1 s LEFT JOIN (SELECT DISTINCT * FROM truth) t ON t.s1_id = s.s1_id AND t.q_id = s.q_id)"
 
 
